@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontam, packing, scratch, url_filter, warc
+from pathweave.llm import decontam, fingerprint, packing, quality, scratch, url_filter, warc
 
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select(
+        "doc_id", (quality.remainder() == quality.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -46,8 +54,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_decontam": op2_decontam, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter}
+    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter}
 
 
 ORACLE = {
