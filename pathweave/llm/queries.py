@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontam, fingerprint, packing, quality, scratch, url_filter, warc
+from pathweave.llm import decontam, fingerprint, packing, quality, scratch, suffix_dedup, url_filter, warc
 
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -32,6 +32,10 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter}
+    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter}
 
 
 ORACLE = {
