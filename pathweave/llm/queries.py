@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontam, fingerprint, packing, quality, scratch, suffix_dedup, url_filter, warc
+from pathweave.llm import decontam, fingerprint, html_main, ngram_join, packing, quality, scratch, suffix_dedup, url_filter, warc
 
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -32,6 +32,10 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -58,12 +62,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter}
+    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
 
 
 ORACLE = {

@@ -42,3 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more.
+
+    Spark's cleaner removes them once the driver's JVM has collected its
+    references; a driver with a large heap may not do so for a long time.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
