@@ -16,12 +16,11 @@ Extra columns are not read.  A null doc_id stands below all others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.llm import scratch
+from pathweave.llm.expressions import let
 
 K = 3
 BUCKETS = 64
@@ -32,11 +31,6 @@ _LOW = (1 << _POSITION) - 1
 MAX_RANGES = 4096
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _bucket(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - _BITS)
 
@@ -67,7 +61,7 @@ def _numbered(kmers: Column) -> Column:
     starts = F.filter(
         F.sequence(F.lit(0), n - 1),
         lambda i: (i == 0) | (_element(F.get(kmers, i)) != _element(F.get(kmers, i - 1))))
-    return _let(starts, lambda b: F.sort_array(F.flatten(F.transform(b, lambda first, run: F.transform(
+    return let(starts, lambda b: F.sort_array(F.flatten(F.transform(b, lambda first, run: F.transform(
         F.slice(kmers, first + 1, F.coalesce(F.get(b, run + 1), n) - first),
         lambda x, occurrence: _packed(F.xxhash64(_element(x), occurrence), _position(x)))))))
 
@@ -88,13 +82,13 @@ def _tuples(elements: Column) -> Column:
 
         return F.array_compact(F.transform(kept, entry))
 
-    return _let(least, of)
+    return let(least, of)
 
 
 def fingerprint(text: Column) -> Column:
     """array<bigint>: a number for each bucket that has elements."""
     words = F.split(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20]+")
-    return _let(words, lambda w: _let(_kmers(w), lambda s: _let(_numbered(s), _tuples)))
+    return let(words, lambda w: let(_kmers(w), lambda s: let(_numbered(s), _tuples)))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pathweave.llm import bytetext
 
@@ -212,18 +213,34 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
 def _scorer(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            others = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            for chunk in bytetext.chunks(batch.column(batch.schema.names.index("_text"))):
+            kept = batch.schema.names[:-1]
+            for chunk in bytetext.chunks(batch.column(len(kept))):
                 score = held.value.score(statistics(chunk))
                 part = batch.slice(chunk.first, len(score))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], pa.array(score)], [*[batch.schema.names[i] for i in others], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*kept, "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and ``score`` of every row."""
+    """Columns ``keep`` (none of them text) and ``score`` of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_scorer(held), f"{fields}, score double")
+    kept = docs.select(*keep)
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    return docs.select(*keep, F.col("text")).mapInArrow(_scorer(held), schema)
+
+
+def _chooser(held, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in bytetext.chunks(batch.column(batch.schema.names.index("text"))):
+                good = held.value.score(statistics(chunk)) >= least
+                yield batch.slice(chunk.first, len(good)).filter(pa.array(good))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Trees, least: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_chooser(held, least), docs.schema)

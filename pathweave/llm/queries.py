@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontam, fingerprint, html_main, ngram_join, packing, quality, scratch, suffix_dedup, url_filter, warc
+from pathweave.llm import decontam, fingerprint, html_main, line_dedup, ngram_join, packing, quality, scratch, suffix_dedup, url_filter, warc
 
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -32,6 +32,10 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
@@ -71,10 +75,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
+    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op3_line_dedup": op3_line_dedup, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
 
 
 ORACLE = {
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, k, line, list_filter(regexp_split_to_array(lower(line), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, i, i + 4), ' ') AS t FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - 3)) AS i FROM l WHERE len(w) >= 5)),
+n AS (SELECT doc_id, k, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT a.doc_id, a.k, b.doc_id AS d2, b.k AS k2, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.k < a.k) GROUP BY ALL),
+g AS (SELECT DISTINCT o.doc_id, o.k FROM o JOIN n x ON x.doc_id = o.doc_id AND x.k = o.k JOIN n y ON y.doc_id = d2 AND y.k = k2 WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL) AS text, count(*) AS n_lines, count(g.k) AS n_removed
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",
     "op2_decontam": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
