@@ -8,6 +8,8 @@ frontiers are the vertices at distance i from the source and j to the target,
 so they first meet when i + j is the distance, and each shortest path crosses
 the meeting set once.
 
+Graphs whose edges are counted and few are broadcast instead (bfs_local).
+
 Levels are stored tables: lineage never grows and a lost executor costs one
 level at most.  Sizes of stored frontiers are known, so Spark broadcasts small
 ones by itself and shuffles large ones.
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.operators import bfs_local
 from pathweave.operators.adjacency import degrees
 from pathweave.plans.storage import stored
 
@@ -115,9 +118,18 @@ def render(found: Search) -> DataFrame:
     return same.unionByName(found.pairs.join(joined, "pair_id").select("pair_id", "source_id", "target_id", "path"))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """(source_id, target_id, path) for pairs (source_id, target_id); a pair without a path has no row."""
-    numbered = pairs.select("source_id", "target_id").distinct().withColumn("pair_id", F.xxhash64("source_id", "target_id"))
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_levels: int = MAX_LEVELS, strategy: str = "auto") -> DataFrame:
+    """(source_id, target_id, path) for pairs (source_id, target_id); a pair without a path has no row.
+
+    ``strategy`` is "levels" (joins, any size), "broadcast" (the graph beside
+    each task, bounded size) or "auto", which counts the edges and decides.
+    """
+    pairs = pairs.select("source_id", "target_id").distinct()
+    if strategy != "levels":
+        edges = stored(search_edges(edges), "edges")
+        if strategy == "broadcast" or edges.count() <= bfs_local.MAX_EDGES:
+            return bfs_local.shortest_paths(pairs, edges)
+    numbered = pairs.withColumn("pair_id", F.xxhash64("source_id", "target_id"))
     return render(search(numbered, edges, max_levels)).drop("pair_id")
 
 

@@ -1,0 +1,117 @@
+"""Shortest paths with the whole graph beside each task: for graphs of proven small size, many pairs in one job.
+
+The edges are laid out as neighbour arrays by vertex and broadcast; pairs are
+dealt to tasks, and each is searched from both ends with array operations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Graphs of more distinct edges are searched by joins (bfs.search); this many take 50 MB to broadcast.
+MAX_EDGES = 2_000_000
+_ROWS = 1000
+
+
+class Neighbours:
+    """Arrays: out[first[v]:first[v + 1]] are the neighbours of vertex number v."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: int):
+        order = np.argsort(a, kind="stable")
+        self.out = b[order].astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+
+    def of(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(neighbour, from which) of all given vertices."""
+        n = self.first[v + 1] - self.first[v]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[v] - (ends - n), n)
+        return self.out[at].astype(np.int64), np.repeat(v, n)
+
+    def cost(self, v: np.ndarray) -> int:
+        return int((self.first[v + 1] - self.first[v]).sum())
+
+
+class Graph:
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.ids, numbers = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = numbers[: len(src)], numbers[len(src) :]
+        self.ways = (Neighbours(a, b, len(self.ids)), Neighbours(b, a, len(self.ids)))
+
+    def number(self, id_: int) -> int | None:
+        at = int(np.searchsorted(self.ids, id_))
+        return at if at < len(self.ids) and self.ids[at] == id_ else None
+
+    def paths(self, source: int, target: int) -> Iterator[list[int]]:
+        """Every shortest path, one after the other."""
+        if source == target:
+            yield [source]
+            return
+        ends = (self.number(source), self.number(target))
+        if None in ends:
+            return
+        seen = [np.zeros(len(self.ids), bool) for _ in ends]
+        fronts = [np.array([e]) for e in ends]
+        #: by side, for each level the (vertex, parent) pairs, sorted by vertex
+        levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for side, e in enumerate(ends):
+            seen[side][e] = True
+        while len(fronts[0]) and len(fronts[1]):
+            side = 0 if self.ways[0].cost(fronts[0]) < self.ways[1].cost(fronts[1]) else 1
+            vertex, parent = self.ways[side].of(fronts[side])
+            new = ~seen[side][vertex]
+            order = np.argsort(vertex[new], kind="stable")
+            vertex, parent = vertex[new][order], parent[new][order]
+            levels[side].append((vertex, parent))
+            fronts[side] = np.unique(vertex)
+            seen[side][fronts[side]] = True
+            meet = np.intersect1d(fronts[0], fronts[1])
+            if len(meet):
+                for m in meet.tolist():
+                    for head in self._back(levels[0], m):
+                        for tail in self._back(levels[1], m):
+                            yield self.ids[[*reversed(head), *tail[1:]]].tolist()
+                return
+
+    @staticmethod
+    def _back(levels: list, vertex: int) -> Iterator[list[int]]:
+        """Ways from a vertex of the last level back to the end of a side."""
+        stack = [[vertex]]
+        while stack:
+            way = stack.pop()
+            depth = len(levels) - len(way)
+            if depth < 0:
+                yield way
+                continue
+            at, parents = levels[depth]
+            lo, hi = np.searchsorted(at, [way[-1], way[-1] + 1])
+            stack += [[*way, p] for p in parents[lo:hi].tolist()]
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_id, target_id, path) for distinct pairs; ``edges`` are distinct and at most MAX_EDGES."""
+    spark = pairs.sparkSession
+    rows = edges.select("src", "dst").limit(MAX_EDGES + 1).toPandas()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges")
+    held = spark.sparkContext.broadcast(Graph(rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("source_id", pa.int64()), ("target_id", pa.int64()), ("path", pa.list_(pa.int64()))])
+        for batch in batches:
+            out = []
+            for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for path in held.value.paths(s, t):
+                    out.append({"source_id": s, "target_id": t, "path": path})
+                    if len(out) == _ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    own = pairs.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).select(F.col("source_id").cast("bigint"), F.col("target_id").cast("bigint"))
+    return own.mapInArrow(run, "source_id bigint, target_id bigint, path array<bigint>")

@@ -76,7 +76,8 @@ SELECT direction, n.id, title, lpad(CAST(n.id AS VARCHAR), 9, '0') || chr(9) ||
     "sssp_single_path": _g0(_walk("(2,3)", 4) + _SHOWN), "sssp_multi_path": _g0(_walk("(101,140)", 4) + _SHOWN), "sssp_same": _g0(_walk("(8,8)", 1) + _SHOWN),
     "sssp_unreachable": _g0(_walk("(2,100)", 8) + _SHOWN, True), "sssp_sparse_deep": _g0(_walk("(2,3)", 10) + _SHOWN, True),
     "multi_pair_paths": _g1(", " + _walk(PAIRS, 4) + _SHOWN),
-    "path_summary": _g1(f", {_walk(PAIRS + ',(2,1000000)', 4)}, n AS (SELECT s, t, count(*) AS count, max(lvl) AS degrees FROM found GROUP BY ALL) SELECT pr.s AS source_id, pr.t AS target_id, coalesce(count, 0) AS count, degrees FROM pr LEFT JOIN n ON n.s = pr.s AND n.t = pr.t"),
+    "multi_pair_levels": _g1(", " + _walk(PAIRS, 4) + _SHOWN),
+    "path_summary": _g1(f", {_walk(PAIRS + ',(2,1000000)', 4)}, n AS (SELECT s, t, count(*) AS count, max(lvl) AS degrees FROM found GROUP BY ALL) SELECT CAST(pr.s AS BIGINT) AS source_id, CAST(pr.t AS BIGINT) AS target_id, coalesce(count, 0) AS count, degrees FROM pr LEFT JOIN n ON n.s = pr.s AND n.t = pr.t"),
     "path_counts": _g0(_walk(PAIRS, 4) + " SELECT s AS source_id, t AS target_id, lvl AS degrees, count(*) AS n_paths FROM found GROUP BY ALL"),
     "path_titles": _g1(f", {_walk(PAIRS, 4)}{_SPOTS} SELECT s AS source_id, t AS target_id, array_to_string(p, '>') AS path, string_agg(title, ' > ' ORDER BY position) AS titles FROM spots JOIN vertexes USING (id) GROUP BY s, t, p"),
     "path_edges_raw": _g1(f", {_walk(PAIRS, 4)}{_STEPS} SELECT * FROM steps"), "path_edges_distinct": _g1(f", {_walk(PAIRS, 4)}{_STEPS} SELECT DISTINCT * FROM steps"),

@@ -51,6 +51,11 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw([(2, 3)])(spark, sf_dir)
 
 
+def multi_pair_levels(spark, sf_dir):
+    """The pairs of multi_pair_paths, searched by joins level by level."""
+    return _shown(bfs.shortest_paths(_pairs(spark, G0_PAIRS), _graph(spark, sf_dir)["edges"], strategy="levels"))
+
+
 def multi_pair_paths(spark, sf_dir):
     return _shown(_g1_paths(spark, sf_dir)[0])
 
@@ -245,7 +250,7 @@ QUERIES = {
     "degrees": lambda spark, sf_dir: adjacency.degrees(_graph(spark, sf_dir)["edges"]), "neighbors_titles": neighbors_titles,
     "vertex_by_title": _vertexes(lambda v: lookup.by_title(v, "Customer_000000042")), "vertex_by_id": _vertexes(lambda v: lookup.by_id(v, 42)), "prefix_search": prefix_search,
     "random_page_ge": _vertexes(lambda v: lookup.next_page(v, 77)), "sssp_single_path": _raw([(2, 3)]), "sssp_multi_path": _raw([(101, 140)]), "sssp_same": _raw([(8, 8)]),
-    "sssp_unreachable": _raw([(2, 100)], urgent=True), "sssp_sparse_deep": _raw([(2, 3)], urgent=True), "multi_pair_paths": multi_pair_paths, "path_summary": path_summary, "path_counts": path_counts,
+    "sssp_unreachable": _raw([(2, 100)], urgent=True), "sssp_sparse_deep": _raw([(2, 3)], urgent=True), "multi_pair_paths": multi_pair_paths, "multi_pair_levels": multi_pair_levels, "path_summary": path_summary, "path_counts": path_counts,
     "path_titles": path_titles, "path_edges_raw": path_edges_raw, "path_edges_distinct": path_edges_distinct, "frontier_cost": frontier_cost, "path_layout": path_layout,
     "cache_hit_miss": cache_hit_miss, "cached_search": cached_search, "long_paths_report": long_paths_report, "top_pages_ranked": top_pages_ranked, "missing_top_pages": missing_top_pages,
     "top_graph_vertexes": top_graph_vertexes, "top_graph_edges": top_graph_edges, "sitemap_urls": sitemap_urls, "sitemap_chunks": sitemap_chunks, "dump_catalog": dump_catalog,
