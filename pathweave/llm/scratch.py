@@ -51,6 +51,14 @@ def release(spark: SparkSession) -> None:
     references; a driver with a large heap may not do so for a long time.
     """
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works in the background
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no later job reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
