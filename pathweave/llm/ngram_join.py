@@ -13,6 +13,10 @@ each token's list the other documents are paired with the first one only, and
 the best of these pairs of each document is verified.  Verified pairs are
 contracted; what remains is every pair of a common list whose documents are
 still in different components, so that no link between components is missed.
+The documents of a first document's lists are dealt to tiles and compared there
+as matrices, without a row for a pair.  A document takes part for the first
+documents that it cannot do without: leaving out those with the fewest shared
+tokens, as long as they sum to less than a partner must share.
 
 Defined cases: a null or empty text has no shingle and no link; a text of fewer
 than five words has one; rows of one doc_id are one vertex; a null doc_id has a
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.llm import bytetext, components, scratch
@@ -35,7 +39,7 @@ SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
 SKETCH = 1 << 16
-MAX_MULTIPLE = 8
+MULTIPLES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Cost of verifying a candidate, in list entries read, for each shingle.
 VERIFY_COST = 0.05
 GROUP_BYTES = 16 << 20
@@ -108,7 +112,7 @@ def _prefixes(bounds: np.ndarray, hashes: np.ndarray, excess: np.ndarray) -> tup
     base = sizes - needed
     read = np.concatenate([[0], np.cumsum(weight)])
     multiple, best = np.ones(len(sizes), np.int64), np.full(len(sizes), np.inf)
-    for m in range(1, MAX_MULTIPLE + 1):
+    for m in MULTIPLES:
         entries = read[np.minimum(bounds[:-1] + base + m, bounds[1:])] - read[bounds[:-1]]
         # a candidate takes m list entries at least
         cost = entries + entries / m * VERIFY_COST * sizes
@@ -226,62 +230,36 @@ class Lists:
         return 100 * np.minimum(self.n[a], self.n[b]) >= PERCENT * np.maximum(self.n[a], self.n[b])
 
     def counted(self, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
-        """Distinct pairs with the number of lists they share; ``more`` is carried as its greatest value."""
+        """Distinct pairs with the number of lists they share; ``more`` is carried as its least value."""
         code = a * len(self.doc) + b
         pairs, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
-        most = np.zeros(len(pairs), np.int64)
-        np.maximum.at(most, inverse, more)
+        least = np.full(len(pairs), 1 << 30, np.int64)
+        np.minimum.at(least, inverse, more)
         a, b = pairs // max(1, len(self.doc)), pairs % max(1, len(self.doc))
-        return [a, b, count, most]
+        return [a, b, count, least]
 
 
-STARS_SCHEMA = "bucket int, a bigint, hub bigint, needed int, shared int, possible boolean, same boolean, longest int"
+STARS_SCHEMA = "a bigint, hub bigint, needed int, shared int, possible boolean, same boolean, lowest int"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's documents paired with its first one."""
+    """Each list's documents paired with its first one; ``lowest`` is the least that a partner in these lists must share."""
     for batch in batches:
         for row in batch.to_pylist():
             x = Lists(row)
             hub = np.repeat(x.members[x.first[:-1]], x.lengths)
-            longest = np.repeat(x.lengths, x.lengths)
+            lists = np.repeat(np.arange(len(x.lengths)), x.lengths)
+            # partners of a size that may be similar are in the same class of sizes or the next ones
+            size = np.floor(np.log(x.n[x.members]) / np.log(100 / PERCENT)).astype(np.int64) + 1
+            least = np.full((len(x.lengths) + 1) * 128, 127, np.int64)
+            np.minimum.at(least, lists * 128 + size, x.multiple[x.members])
+            lowest = np.minimum.reduce([least[lists * 128 + size + d] for d in (-1, 0, 1)])
             own = x.members != hub
-            a, b, count, most = x.counted(x.members[own], hub[own], longest[own])
+            a, b, count, low = x.counted(x.members[own], hub[own], lowest[own])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(a), row["bucket"], np.int32)), pa.array(x.doc[a]), pa.array(x.doc[b]), pa.array(np.minimum(x.multiple[a], x.multiple[b]).astype(np.int32)),
-                pa.array(count.astype(np.int32)), pa.array(x.possible(a, b)), pa.array(x.classes[a] == x.classes[b]), pa.array(most.astype(np.int32)),
-            ], ["bucket", "a", "hub", "needed", "shared", "possible", "same", "longest"])
-
-
-OPEN_SCHEMA = "a bigint, b bigint, needed int, shared int"
-#: Pairs of a list that are held at a time.
-PAIR_BLOCK = 1_000_000
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the open documents of a bucket with the other members of the lists in which they are open."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            x = Lists(row)
-            ids, vertex = np.unique(x.doc, return_inverse=True)
-            pair = np.searchsorted(ids, np.array([(o["a"], o["hub"]) for o in row["open"]], np.int64))
-            lists = np.repeat(np.arange(len(x.lengths)), x.lengths)
-            here = vertex[x.members] * len(ids) + vertex[x.members[x.first[lists]]]
-            at = np.flatnonzero(np.isin(here, pair[:, 0] * len(ids) + pair[:, 1]) & (x.lengths[lists] > 2))
-            sizes = x.lengths[lists[at]]
-            block = np.cumsum(sizes) // PAIR_BLOCK
-            for k in np.unique(block):
-                own = at[block == k]
-                size = x.lengths[lists[own]]
-                a = np.repeat(x.members[own], size)
-                b = x.members[bytetext.ragged(x.first[lists[own]], size)]
-                keep = (x.classes[a] != x.classes[b]) & x.possible(a, b) & (b != np.repeat(x.members[x.first[lists[own]]], size))
-                a, b = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
-                # a pair that is open from both sides came twice from the same list
-                both = np.unique(np.stack([a, b, np.repeat(lists[own], size)[keep]], axis=1), axis=0)
-                a, b, count, _ = x.counted(both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.doc[a]), pa.array(x.doc[b]), pa.array(np.minimum(x.multiple[a], x.multiple[b]).astype(np.int32)), pa.array(count.astype(np.int32))], ["a", "b", "needed", "shared"])
+                pa.array(x.doc[a]), pa.array(x.doc[b]), pa.array(np.minimum(x.multiple[a], x.multiple[b]).astype(np.int32)),
+                pa.array(count.astype(np.int32)), pa.array(x.possible(a, b)), pa.array(x.classes[a] == x.classes[b]), pa.array(low.astype(np.int32)),
+            ], ["a", "hub", "needed", "shared", "possible", "same", "lowest"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +281,110 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([a.slice(lo, hi - lo).take(pa.array(linked)), b.slice(lo, hi - lo).take(pa.array(linked))], ["a", "b"])
 
 
+#: Documents on a side of a tile, and shingles that are multiplied at a time.
+TILE, TILE_SHINGLES = 256, 1 << 13
+#: Documents that are dealt to tiles at a time, as a share of all rows.
+BATCH_SHARE = 0.2
+
+
+def _forest(doc: list, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (of the links a-b) that join the same documents: fewer than documents."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(doc[x]), find(doc[y])
+        if p != q:
+            root[p] = q
+            out.append((doc[x], doc[y]))
+    return out
+
+
+def _compare_tile(rows: list[dict]) -> list[tuple[int, int]]:
+    """Links between the documents on the two sides of a tile."""
+    found, sizes = [], []
+    for chunk in bytetext.chunks(pa.array([r["text"] for r in rows], pa.string())):
+        bounds, hashes = shingle_sets(chunk)
+        found.append(hashes)
+        sizes.append(np.diff(bounds))
+    sizes, hashes = np.concatenate(sizes), np.concatenate(found)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    side = np.array([r["left"] for r in rows])
+    number = np.cumsum(side) - 1
+    number[~side] = np.cumsum(~side)[~side] - 1
+    # a shingle of one document only is shared with none; a document may stand on both sides
+    _, who = np.unique([r["doc_id"] for r in rows], return_inverse=True)
+    order = np.lexsort((who[owner], hashes))
+    owner, hashes = owner[order], hashes[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, len(hashes)))
+    several = who[owner[first]] != who[owner[first + length - 1]]
+    keep = np.repeat(several, length)
+    owner, token = owner[keep], np.repeat(np.cumsum(several) - 1, length)[keep]
+    shared = np.zeros((int(side.sum()), int((~side).sum())), np.float32)
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, TILE_SHINGLES):
+        lo, hi = np.searchsorted(token, [first, first + TILE_SHINGLES])
+        own, at = owner[lo:hi], token[lo:hi] - first
+        sides = []
+        for which, n in ((True, shared.shape[0]), (False, shared.shape[1])):
+            m = np.zeros((n, TILE_SHINGLES), np.float32)
+            mine = side[own] == which
+            m[number[own[mine]], at[mine]] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    union = sizes[side][:, None] + sizes[~side][None, :] - shared
+    a, b = np.nonzero((shared > 0) & (100 * shared >= PERCENT * union))
+    doc = [r["doc_id"] for r in rows]
+    return _forest(doc, np.flatnonzero(side)[a], np.flatnonzero(~side)[b])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    key = lambda r: (r["hub"], r["kind"], r["i"], r["j"])
+
+    def decide() -> pa.RecordBatch:
+        links = _compare_tile(held)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, TILE):
+            for row in batch.slice(start, TILE).to_pylist():
+                if held and key(held[0]) != key(row):
+                    yield decide()
+                    held = []
+                held.append(row)
+    if held:
+        yield decide()
+
+
+def tiled_links(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) among the documents of each hub's lists.
+
+    ``members`` (hub, doc_id, open, kept): open ones are not in the hub's
+    component, and a pair needs one that is open and one that is kept.  So kept
+    open documents are compared with all (kind 0), other kept ones with the
+    open ones (kind 1).
+    """
+    kinds = F.filter(F.array(
+        F.when(F.col("open") & F.col("kept"), F.struct(F.lit(0).alias("kind"), F.lit(True).alias("left"))), F.struct(F.lit(0).alias("kind"), F.lit(False).alias("left")),
+        F.when(~F.col("open") & F.col("kept"), F.struct(F.lit(1).alias("kind"), F.lit(True).alias("left"))), F.when(F.col("open"), F.struct(F.lit(1).alias("kind"), F.lit(False).alias("left")))), lambda x: x.isNotNull())
+    sides = members.select("hub", "doc_id", F.explode(kinds).alias("x")).select("hub", "doc_id", "x.kind", "x.left")
+    blocks = sides.groupBy("hub", "kind").agg(
+        F.ceil(F.sum(F.when(F.col("left"), 1).otherwise(0)) / TILE).cast("int").alias("rows"), F.ceil(F.sum(F.when(F.col("left"), 0).otherwise(1)) / TILE).cast("int").alias("columns"))
+    sides = sides.join(blocks.filter("rows > 0 and columns > 0"), ["hub", "kind"]).join(docs.select("doc_id", "text"), "doc_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.when(F.col("left"), F.col("rows")).otherwise(F.col("columns"))).cast("int")
+    dealt = sides.select("hub", "kind", "doc_id", "text", "left", place.alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("columns")).otherwise(F.col("rows")) - 1)).alias("other"))
+    dealt = dealt.select("hub", "kind", "doc_id", "text", "left", F.when(F.col("left"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("own")).alias("j"))
+    dealt = dealt.repartition(width, "hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j")
+    return dealt.mapInArrow(_tiles, "a bigint, b bigint").filter("a <> b").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are similar."""
     texts = docs.select("doc_id", "text")
@@ -332,7 +414,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         named.mapInArrow(_poster(held, 4 * n), POSTINGS_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket, LISTS_SCHEMA), "lists")
     scratch.release(spark)
 
-    stars = scratch.materialise(lists.drop("h1", "h2").mapInArrow(_stars, STARS_SCHEMA), "stars")
+    stars = scratch.materialise(lists.mapInArrow(_stars, STARS_SCHEMA), "stars")
     candidates = (
         stars.filter("possible and not same").groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
         .filter("shared >= needed").groupBy("a").agg(F.max(F.struct("shared", (-F.col("hub")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
@@ -342,21 +424,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     found = components.components(copies.unionByName(links))
 
     # what a list still may link: documents that are not yet with its first one
+    shared = stars.groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.min("lowest").alias("lowest"), F.min("same").alias("same"))
+    rising = Window.partitionBy("a").orderBy("shared", "hub")
+    kept = F.sum("shared").over(rising) >= F.min("lowest").over(Window.partitionBy("a"))
     of = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
-    apart = F.coalesce("a_component", "a") != F.coalesce("hub_component", "hub")
-    open_ = stars.filter("not same").join(of("a"), "a", "left").join(of("hub"), "hub", "left").filter(apart)
-    untried = open_.filter("possible").groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).filter("shared >= needed").select("a", F.col("hub").alias("b"))
-    in_lists = open_.filter("longest > 2").groupBy("bucket").agg(F.collect_list(F.struct("a", "hub")).alias("open"))
-    others = (
-        lists.drop("h1", "h2").join(in_lists, "bucket").mapInArrow(_open_pairs, OPEN_SCHEMA)
-        .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")).filter("shared >= needed").select("a", "b")
-    )
-    left = untried.unionByName(others).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(
-        F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
-    left = scratch.materialise(left, "open")
-    if not left.isEmpty():
-        more = scratch.materialise(verified(named, left), "links")
+    apart = ~F.col("same") & (F.coalesce("a_component", "a") != F.coalesce("hub_component", "hub"))
+    members = shared.select("a", "hub", "same", kept.alias("kept")).join(of("a"), "a", "left").join(of("hub"), "hub", "left").select(
+        "hub", F.col("a").alias("doc_id"), apart.alias("open"), "kept")
+    members = scratch.materialise(members, "members")
+    # a hub matters if one of its documents is open and one is kept
+    hubs = members.groupBy("hub").agg(F.max("open").alias("open"), F.max("kept").alias("kept")).filter("open and kept").select("hub")
+    hubs = scratch.materialise(hubs, "hubs")
+    if not hubs.isEmpty():
+        own = members.join(hubs, "hub", "left_semi").unionByName(hubs.select("hub", F.col("hub").alias("doc_id"), F.lit(False).alias("open"), F.lit(False).alias("kept")))
+        own = scratch.materialise(own, "own")
+        texts = scratch.materialise(named.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
         scratch.release(spark)
-        found = components.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        # a document may be compared under several hubs: so many at a time that their texts take less room than the corpus
+        batches = 1 + int(own.count() / (BATCH_SHARE * rows.count()))
+        edges = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        for k in range(batches):
+            part = own.filter(F.pmod(F.xxhash64("hub"), F.lit(batches)) == k)
+            edges = edges.unionByName(scratch.materialise(tiled_links(texts, part, n), "links"))
+            scratch.release(spark)
+        found = components.components(edges)
     return rows.join(found, rows["doc_id"] == found["id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -60,6 +60,22 @@ def test_equals_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [256, 4])
+def test_tiles_of_near_copies(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # copies that are near the threshold, each with its own edits
+        text = list(base)
+        for at in rng.choice(60, rng.integers(0, 3), replace=False):
+            text[at] = f"e{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + a if a is not None else None, b) for a, b in corpus(1)]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
 def test_prefixes_share_enough():
     """Any two similar sets share as many prefix tokens as the smaller multiple."""
     rng = np.random.default_rng(0)
