@@ -24,9 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; a document that loses its last word goes."""
+    """Documents without lines that repeat earlier ones; a document that loses all its lines goes."""
     clean = line_dedup.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\r\x0b\x0c")) != "")
+    left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return clean.filter(left).select(docs.columns)
