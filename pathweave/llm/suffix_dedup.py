@@ -97,8 +97,9 @@ def _parts(chunk: bytetext.Chunk, length: int) -> Iterator[tuple[int, int, np.nd
 
 _ROUND1 = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("versions", pa.binary()), ("gram", pa.binary()), ("context", pa.binary()), ("owner", pa.binary()), ("place", pa.binary())])
 ROUND1_SCHEMA = "bucket int, docs binary, versions binary, gram binary, context binary, owner binary, place binary"
-#: Anchors are named by the place of their first window.
-#: state 1: all windows of the anchor occur earlier; 2: its context goes to round 2.
+#: A run of windows is a number: its first place, then 16 bits that say how many follow.
+_SPAN = 1 << 16
+#: state 1: all windows of the run occur earlier; 2: its anchor's context goes to round 2.
 STATE_SCHEMA = "doc bigint, version bigint, state int, places binary"
 
 
@@ -144,9 +145,9 @@ def _round1(buckets: int, length: int):
                     place, a, b, gram, prefix = anchors(data, offsets, length)
                     row = np.searchsorted(offsets, place, "right") - 1
                     # the context's extent before and after the anchor is part of it
-                    context = bytetext.mix(bytetext.span_hashes(prefix, a, b + length) + ((place - a) * 256 + (b - a)).astype(np.uint64))
+                    context = bytetext.mix(bytetext.span_hashes(prefix, a, b + length) + ((place - a) * _SPAN + (b - a)).astype(np.uint64))
                     n = len(offsets) - 1
-                    group.append((doc[first : first + n], version[first - chunk.first : first - chunk.first + n], gram, context, row + count, a - offsets[row] + shift))
+                    group.append((doc[first : first + n], version[first - chunk.first : first - chunk.first + n], gram, context, row + count, (a - offsets[row] + shift) * _SPAN + b - a))
                     count += n
                     size += len(data)
                     if size >= GROUP_BYTES:
@@ -295,16 +296,12 @@ def _contexts(length: int):
                 for first, shift, data, offsets in _parts(chunk, length):
                     place, a, b, gram, _ = anchors(data, offsets, length)
                     row = np.searchsorted(offsets, place, "right") - 1
-                    at, name = place - offsets[row] + shift, a - offsets[row] + shift
+                    at, run_ = place - offsets[row] + shift, (a - offsets[row] + shift) * _SPAN + b - a
                     bounds = np.searchsorted(row, np.arange(len(offsets)))
                     found = []
                     for r in range(len(offsets) - 1):
-                        blobs = wanted[first + r].as_py()
-                        if blobs:
-                            own = slice(bounds[r], bounds[r + 1])
-                            found.append(bounds[r] + np.flatnonzero(np.isin(name[own], np.frombuffer(b"".join(blobs), "<i8"))))
-                    if not found:
-                        continue
+                        mine = np.frombuffer(b"".join(wanted[first + r].as_py()), "<i8")
+                        found.append(bounds[r] + np.flatnonzero(np.isin(run_[bounds[r] : bounds[r + 1]], mine)))
                     own = np.concatenate(found)
                     raw = data.tobytes()
                     yield pa.RecordBatch.from_arrays([
@@ -353,7 +350,6 @@ def repeated_windows(gram: np.ndarray, doc: np.ndarray, back: np.ndarray, ahead:
                     yield own[k : k + 1], shift
 
 
-#: state 3: the window that starts at this place occurs earlier.
 def _compare(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -366,7 +362,7 @@ def _compare(length: int):
             found = [(own, place[own] + shift) for own, shift in repeated_windows(gram, doc, back.astype(np.int64), ahead.astype(np.int64), t.column(6).to_pylist(), length)]
             if found:
                 own, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                yield _by_document(doc[own], version[own], np.full(len(own), 3), at)
+                yield _by_document(doc[own], version[own], np.ones(len(own), np.int64), at * _SPAN)
 
         for batch in batches:
             at = 0
@@ -403,25 +399,12 @@ def _remove(length: int, with_kept: bool):
             doc, marks = batch.column(0), batch.column(3)
             for chunk in bytetext.chunks(batch.column(2), PART_BYTES):
                 gone = np.zeros(len(chunk.data) + 1, np.int32)
-                for first, shift, data, offsets in _parts(chunk, length):
-                    rows = [r for r in range(len(offsets) - 1) if marks[first + r].as_py()]
-                    if not rows:
-                        continue
-                    place, a, b, _, _ = anchors(data, offsets, length)
-                    row = np.searchsorted(offsets, place, "right") - 1
-                    bounds = np.searchsorted(row, np.arange(len(offsets)))
-                    for r in rows:
-                        for mark in marks[first + r].as_py():
-                            places = np.frombuffer(mark["places"], "<i8")
-                            if mark["state"] == 1:
-                                own = slice(bounds[r], bounds[r + 1])
-                                hit = np.isin(a[own] - offsets[r] + shift, places)
-                                np.add.at(gone, a[own][hit] + shift, 1)
-                                np.add.at(gone, b[own][hit] + shift + length, -1)
-                            elif not shift:
-                                at = places + chunk.offsets[first - chunk.first + r]
-                                np.add.at(gone, at, 1)
-                                np.add.at(gone, at + length, -1)
+                for r, blobs in enumerate(marks.slice(chunk.first, chunk.last - chunk.first).to_pylist()):
+                    if blobs:
+                        runs = np.frombuffer(b"".join(blobs), "<i8")
+                        at = runs // _SPAN + chunk.offsets[r]
+                        np.add.at(gone, at, 1)
+                        np.add.at(gone, at + runs % _SPAN + length, -1)
                 removed = np.cumsum(gone[:-1]) > 0
                 out = []
                 for r in range(chunk.last - chunk.first):
@@ -452,20 +435,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
     Texts are shuffled once, by document; the anchors of a bucket and the
     contexts of a gram are what else moves.
     """
-    if length < GRAM:
-        raise ValueError(f"strings of {GRAM} bytes at least")
+    if not GRAM <= length < _SPAN:
+        raise ValueError(f"strings of {GRAM} bytes at least and under {_SPAN}")
     spark = docs.sparkSession
     n = scratch.shuffle_width(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.mapInArrow(_keyed, "doc bigint, version bigint, text string").repartition(n, "doc", "version")
     states = scratch.materialise(
         rows.mapInArrow(_round1(n * 4, length), ROUND1_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, STATE_SCHEMA), "anchors")
+    scratch.release(spark)
     open_ = states.filter("state = 2").groupBy("doc", "version").agg(F.collect_list("places").alias("wanted"))
     contexts = (
         dealt.join(open_, ["doc", "version"]).select("doc", "version", "text", "wanted")
         .mapInArrow(_contexts(length), CONTEXT_SCHEMA).repartition(n, "gram").sortWithinPartitions("gram")
     )
     marks = states.filter("state = 1").unionByName(contexts.mapInArrow(_compare(length), STATE_SCHEMA))
-    marks = marks.groupBy("doc", "version").agg(F.collect_list(F.struct("state", "places")).alias("marks"))
+    marks = marks.groupBy("doc", "version").agg(F.collect_list("places").alias("marks"))
     done = dealt.join(marks, ["doc", "version"], "left").select("doc", "version", "text", "marks").mapInArrow(_remove(length, with_kept), RESULT_SCHEMA)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
