@@ -284,7 +284,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: Documents on a side of a tile, and shingles that are multiplied at a time.
 TILE, TILE_SHINGLES = 256, 1 << 13
 #: Documents that are dealt to tiles at a time, as a share of all rows.
-BATCH_SHARE = 0.2
+BATCH_SHARE = 0.1
 
 
 def _forest(doc: list, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
