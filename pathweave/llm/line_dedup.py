@@ -1,6 +1,7 @@
 """Removal of lines that repeat an earlier line, exactly or nearly: an exact set-similarity join in SQL functions.
 
-A line's tokens are its hashed word 5-shingles, ordered by rarity: a table of
+A line's tokens are its hashed word 5-shingles, or the hash of all its words if
+it has fewer than five, ordered by rarity: a table of
 fixed size counts all shingles, those of crowded cells come last, then by hash.
 Two lines match if the Jaccard similarity of their token sets is
 ``PERCENT``/100 or more.  Equal lines are one representative, its first
@@ -14,8 +15,8 @@ line that this does not settle is then compared with all earlier lines of its
 tokens.
 
 Only built-in expressions: no Python runs on executors.  Defined cases: lines
-of fewer than ``MIN_WORDS`` words are left alone and match nothing; a null text
-has no line and stays null; a null doc_id comes last; rows of equal doc_id and
+without a word are left alone and match nothing; a line of one to four words
+matches the lines of the same words only; a null text has no line and stays null; a null doc_id comes last; rows of equal doc_id and
 text have equal results and do not remove from each other; rows of one doc_id
 with different texts are ordered by a hash of the text.  Columns of the input
 are kept, text changes, and a clash with the added columns is an error.
@@ -34,7 +35,6 @@ from pathweave.llm.expressions import let
 
 SHINGLE = 5
 PERCENT = 80
-MIN_WORDS = SHINGLE
 #: Cells of the table that counts shingles.
 CELLS = 1 << 14
 #: Passes over the stored tokens; more of them move less at a time.
@@ -53,9 +53,9 @@ def word_hashes(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Distinct hashed shingles of a normal line of MIN_WORDS words at least."""
+    """Distinct hashed shingles of a normal line; one of all its words if they are fewer than SHINGLE."""
     return let(word_hashes(line), lambda w: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))))
+        F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     # normal forms come out of the generator, so that the filter below does not make them again
     parts = F.transform(F.split("text", "\n"), normal)
     lines = keyed.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.posexplode_outer(parts).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(rf"^(\S+\s+){{{MIN_WORDS - 1}}}\S"))
+    return lines.filter(F.col("line") != "")
 
 
 def _identity() -> list[Column]:
@@ -79,8 +79,8 @@ def _identity() -> list[Column]:
 def _rarity(lines: DataFrame) -> list[int]:
     """For each cell of the table a class: 0 for usual counts, then one for each doubling."""
     words = lines.select(word_hashes(F.col("line")).alias("w"))
-    places = words.select("w", F.explode_outer(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("i"))
-    # the same numbers as in shingles(): an array is hashed as its elements are
+    places = words.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))).alias("i"))
+    # the same numbers as in shingles(): an array is hashed as its elements are, and the nulls beyond its end leave the hash as it is
     shingle = F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)])
     counts = places.select(_cell(shingle).alias("cell")).groupBy("cell").count().collect()  # CELLS rows at most
     usual = 2 * max(1, sorted(r["count"] for r in counts)[len(counts) // 2]) if counts else 1
