@@ -201,7 +201,7 @@ def top_graph_edges(spark, sf_dir):
 
 
 def _sitemap(spark, sf_dir):
-    top = stored(toppages.ranked(_articles(spark, sf_dir), _graph(spark, sf_dir)["vertexes"], 300), "top")
+    top = stored(toppages.ranked(_articles(spark, sf_dir), _graph(spark, sf_dir)["vertexes"]), "top")
     return toppages.sitemap_urls(top, BASE_URL)
 
 
