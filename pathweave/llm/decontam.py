@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pathweave.llm import bytetext, scratch
@@ -114,12 +114,15 @@ class Segment:
             found_at.append(start)
         return np.concatenate(found_rows), np.concatenate(found_at)
 
-    def near(self, hashes: np.ndarray, distance: int) -> np.ndarray:
-        """Positions of the rarest of some terms that have each other term within ``distance`` words of the same document."""
+    def near(self, hashes: np.ndarray, distance: int, lead: np.uint64 | None = None) -> np.ndarray:
+        """Positions of ``lead``, or else the rarest of some terms, that have each other term within ``distance`` words of the same document."""
         terms = self.term_index(np.unique(hashes))
         if not len(terms) or (terms < 0).any():
             return np.zeros(0, np.int64)
         terms = terms[np.argsort(self.counts[terms], kind="stable")]
+        if lead is not None:
+            first = self.term_index(np.array([lead], np.uint64))
+            terms = np.concatenate([first, terms[terms != first]])
         start = self.positions[self.first[terms[0]] : self.first[terms[0] + 1]]
         doc = np.searchsorted(self.doc_start, start, "right") - 1
         low, high = np.maximum(start - distance, self.doc_start[doc]), np.minimum(start + distance, self.doc_start[doc + 1] - 1)
@@ -212,6 +215,32 @@ def _search_segment(values: dict, queries: list) -> Iterator[pa.RecordBatch]:
     ], ["segment", "ordinal", "hits", "items"])
 
 
+def _finder(hashes: np.ndarray, distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                values = {name: batch.column(name)[row].as_py() for name in ("doc_ids", "n_words", "terms", "counts", "positions")}
+                segment = Segment(values)
+                at = segment.near(hashes, distance, hashes[0])
+                if not len(at):
+                    continue
+                doc = np.searchsorted(segment.doc_start, at, "right") - 1
+                docs, begins = np.unique(doc, return_index=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([values["doc_ids"][d] for d in docs], pa.int64()),
+                    pa.array([a.astype(np.int32) for a in np.split(at - segment.doc_start[doc], begins[1:])], pa.list_(pa.int32())),
+                ], ["doc_id", "positions"])
+
+    return run
+
+
+def proximity(index: DataFrame, text: str, distance: int) -> DataFrame:
+    """(doc_id, positions) of the indexed rows where the first word of ``text`` has each other one within ``distance`` words; word numbers of the first."""
+    schema = "doc_id bigint, positions array<int>"
+    words = _hash_items([Row(item_id="", text=text)])
+    return index.mapInArrow(_finder(words[0][1], distance), schema) if words else index.sparkSession.createDataFrame([], schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items): one row for each row of ``docs``."""
     index = build_index(docs)
