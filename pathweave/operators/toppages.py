@@ -13,8 +13,6 @@ from pathweave.operators import bfs
 from pathweave.operators.paths import path_edges
 from pathweave.plans import storage
 
-#: A list of top pages is a report of this many entries at most; what follows from it is bounded by it.
-MAX_TOP = 1000
 URLS_PER_FILE = 50_000
 _XMLNS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
@@ -22,7 +20,7 @@ _XMLNS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 def ranked(articles: DataFrame, vertexes: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, title, views, rank): listed articles that are pages, ranked anew from 1 without gaps."""
     ids = vertexes.groupBy("title").agg(F.min("id").alias("id"))
-    known = articles.orderBy("rank", "title").limit(MAX_TOP).join(ids, "title")
+    known = articles.join(ids, "title")
     rows = known.withColumn("rank", F.row_number().over(Window.orderBy("rank", "title")))
     return rows.select("id", "title", "views", "rank") if limit is None else rows.filter(F.col("rank") <= limit).select("id", "title", "views", "rank")
 
@@ -33,7 +31,7 @@ def missing(articles: DataFrame, vertexes: DataFrame) -> DataFrame:
 
 
 def pairs(top: DataFrame) -> DataFrame:
-    """Ordered pairs of different top pages: at most MAX_TOP squared rows."""
+    """Ordered pairs of different top pages; the list is broadcast."""
     a, b = top.select(F.col("id").alias("source_id"), F.col("rank").alias("s")), top.select(F.col("id").alias("target_id"), F.col("rank").alias("t"))
     return a.join(F.broadcast(b), F.col("s") != F.col("t")).select("source_id", "target_id", "s", "t")
 
@@ -52,7 +50,7 @@ def top_graph(top: DataFrame, vertexes: DataFrame, edges: DataFrame) -> tuple[Da
 
 
 def write_top_graph(spark: SparkSession, points: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as one JSON document; it is bounded by the paths between MAX_TOP pages and meant for a browser."""
+    """The graph as one JSON document; it is bounded by the paths between the top pages and meant for a browser."""
     v = [{"id": str(r.id), "title": r.title, "top": r.top, "rank": r["rank"]} for r in points.orderBy("id").toLocalIterator()]
     e = [{"source": str(r.src), "target": str(r.dst)} for r in edges.orderBy("src", "dst").toLocalIterator()]
     storage.write_bytes(spark, path, json.dumps({"vertexes": v, "edges": e}, indent=2, ensure_ascii=False).encode())
