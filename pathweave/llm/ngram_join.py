@@ -13,10 +13,13 @@ each token's list the other documents are paired with the first one only, and
 the best of these pairs of each document is verified.  Verified pairs are
 contracted; what remains is every pair of a common list whose documents are
 still in different components, so that no link between components is missed.
-The documents of a first document's lists are dealt to tiles and compared there
-as matrices, without a row for a pair.  A document takes part for the first
-documents that it cannot do without: leaving out those with the fewest shared
-tokens, as long as they sum to less than a partner must share.
+The documents of a first document's lists are dealt to tiles twice, and
+compared there as matrices, without a row for a pair: first by their tokens of
+these lists, which says who may have a partner at all, then those by their
+whole texts.  A document takes part for the first documents that it cannot do
+without: leaving out those with the fewest shared tokens, as long as they sum
+to less than a partner must share.  A similar pair shares, under one of the
+rest at least, its due part of the tokens that it must share in all.
 
 Defined cases: a null or empty text has no shingle and no link; a text of fewer
 than five words has one; rows of one doc_id are one vertex; a null doc_id has a
@@ -110,7 +113,7 @@ def _prefixes(bounds: np.ndarray, hashes: np.ndarray, excess: np.ndarray) -> tup
     hashes, weight = hashes[order], weight[order]
     needed = -(-PERCENT * sizes // 100)
     base = sizes - needed
-    read = np.concatenate([[0], np.cumsum(weight)])
+    read = np.concatenate([[0], np.cumsum(weight, dtype=np.float64)])
     multiple, best = np.ones(len(sizes), np.int64), np.full(len(sizes), np.inf)
     for m in MULTIPLES:
         entries = read[np.minimum(bounds[:-1] + base + m, bounds[1:])] - read[bounds[:-1]]
@@ -229,21 +232,15 @@ class Lists:
         """Length filter."""
         return 100 * np.minimum(self.n[a], self.n[b]) >= PERCENT * np.maximum(self.n[a], self.n[b])
 
-    def counted(self, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
-        """Distinct pairs with the number of lists they share; ``more`` is carried as its least value."""
-        code = a * len(self.doc) + b
-        pairs, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
-        least = np.full(len(pairs), 1 << 30, np.int64)
-        np.minimum.at(least, inverse, more)
-        a, b = pairs // max(1, len(self.doc)), pairs % max(1, len(self.doc))
-        return [a, b, count, least]
 
-
-STARS_SCHEMA = "a bigint, hub bigint, needed int, shared int, possible boolean, same boolean, lowest int"
+STARS_SCHEMA = "a bigint, hub bigint, n int, multiple int, needed int, shared int, possible boolean, same boolean, lowest int, tokens binary"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's documents paired with its first one; ``lowest`` is the least that a partner in these lists must share."""
+    """Each list's documents paired with its first one; ``lowest`` is the least that a partner in these lists must share.
+
+    The first one has a row too, with itself; ``tokens`` are 32-bit names of the lists.
+    """
     for batch in batches:
         for row in batch.to_pylist():
             x = Lists(row)
@@ -254,12 +251,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = np.full((len(x.lengths) + 1) * 128, 127, np.int64)
             np.minimum.at(least, lists * 128 + size, x.multiple[x.members])
             lowest = np.minimum.reduce([least[lists * 128 + size + d] for d in (-1, 0, 1)])
-            own = x.members != hub
-            a, b, count, low = x.counted(x.members[own], hub[own], lowest[own])
+            code = x.members * len(x.doc) + hub
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            a, b = code[first] // len(x.doc), code[first] % len(x.doc)
+            names = bytetext.mix(np.arange(len(x.lengths), dtype=np.uint64) + (np.uint64(row["bucket"]) << np.uint64(32))).astype(np.uint32)
+            bounds = np.append(first, len(code))
+            tokens = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(names[lists[order]].tobytes())])
             yield pa.RecordBatch.from_arrays([
-                pa.array(x.doc[a]), pa.array(x.doc[b]), pa.array(np.minimum(x.multiple[a], x.multiple[b]).astype(np.int32)),
-                pa.array(count.astype(np.int32)), pa.array(x.possible(a, b)), pa.array(x.classes[a] == x.classes[b]), pa.array(low.astype(np.int32)),
-            ], ["a", "hub", "needed", "shared", "possible", "same", "lowest"])
+                pa.array(x.doc[a]), pa.array(x.doc[b]), pa.array(x.n[a].astype(np.int32)), pa.array(x.multiple[a].astype(np.int32)),
+                pa.array(np.minimum(x.multiple[a], x.multiple[b]).astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)),
+                pa.array(x.possible(a, b)), pa.array(x.classes[a] == x.classes[b]), pa.array(np.minimum.reduceat(lowest[order], first).astype(np.int32)), tokens,
+            ], ["a", "hub", "n", "multiple", "needed", "shared", "possible", "same", "lowest", "tokens"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +285,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([a.slice(lo, hi - lo).take(pa.array(linked)), b.slice(lo, hi - lo).take(pa.array(linked))], ["a", "b"])
 
 
-#: Documents on a side of a tile, and shingles that are multiplied at a time.
-TILE, TILE_SHINGLES = 256, 1 << 13
-#: Documents that are dealt to tiles at a time, as a share of all rows.
+#: Documents on a side of a tile of texts and of one of tokens; tokens that are multiplied at a time.
+TILE, TOKEN_TILE, TILE_SHINGLES = 256, 512, 1 << 13
+#: Documents whose texts are dealt to tiles at a time, as a share of all rows.
 BATCH_SHARE = 0.1
 
 
@@ -306,65 +310,102 @@ def _forest(doc: list, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare_tile(rows: list[dict]) -> list[tuple[int, int]]:
-    """Links between the documents on the two sides of a tile."""
-    found, sizes = [], []
-    for chunk in bytetext.chunks(pa.array([r["text"] for r in rows], pa.string())):
-        bounds, hashes = shingle_sets(chunk)
-        found.append(hashes)
-        sizes.append(np.diff(bounds))
-    sizes, hashes = np.concatenate(sizes), np.concatenate(found)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    side = np.array([r["left"] for r in rows])
+def _overlaps(owner: np.ndarray, hashes: np.ndarray, who: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Number of common hashes of each left row (``side`` true) with each right one; ``who`` says which rows are one document."""
     number = np.cumsum(side) - 1
     number[~side] = np.cumsum(~side)[~side] - 1
-    # a shingle of one document only is shared with none; a document may stand on both sides
-    _, who = np.unique([r["doc_id"] for r in rows], return_inverse=True)
+    shared = np.zeros((int(side.sum()), int((~side).sum())), np.float32)
+    if not len(hashes):
+        return shared
+    # a hash of one document only is shared with none; a document may stand on both sides
     order = np.lexsort((who[owner], hashes))
     owner, hashes = owner[order], hashes[order]
-    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
     length = np.diff(np.append(first, len(hashes)))
     several = who[owner[first]] != who[owner[first + length - 1]]
     keep = np.repeat(several, length)
     owner, token = owner[keep], np.repeat(np.cumsum(several) - 1, length)[keep]
-    shared = np.zeros((int(side.sum()), int((~side).sum())), np.float32)
     for first in range(0, int(token[-1]) + 1 if len(token) else 0, TILE_SHINGLES):
         lo, hi = np.searchsorted(token, [first, first + TILE_SHINGLES])
         own, at = owner[lo:hi], token[lo:hi] - first
         sides = []
         for which, n in ((True, shared.shape[0]), (False, shared.shape[1])):
-            m = np.zeros((n, TILE_SHINGLES), np.float32)
+            m = np.zeros((n, int(at[-1]) + 1), np.float32)
             mine = side[own] == which
             m[number[own[mine]], at[mine]] = 1
             sides.append(m)
         shared += sides[0] @ sides[1].T
+    return shared
+
+
+def _column(rows: list[dict], name: str) -> np.ndarray:
+    return np.array([r[name] for r in rows])
+
+
+def _linked(rows: list[dict]) -> pa.RecordBatch:
+    """Links between the documents on the two sides of a tile."""
+    found, sizes = [], []
+    for chunk in bytetext.chunks(pa.array([r["text"] for r in rows], pa.string())):
+        bounds, hashes = shingle_sets(chunk)
+        found.append(hashes)
+        sizes.append(np.diff(bounds))
+    sizes, side, doc = np.concatenate(sizes), _column(rows, "left"), _column(rows, "doc_id")
+    shared = _overlaps(np.repeat(np.arange(len(rows)), sizes), np.concatenate(found), np.unique(doc, return_inverse=True)[1], side)
     union = sizes[side][:, None] + sizes[~side][None, :] - shared
     a, b = np.nonzero((shared > 0) & (100 * shared >= PERCENT * union))
-    doc = [r["doc_id"] for r in rows]
-    return _forest(doc, np.flatnonzero(side)[a], np.flatnonzero(~side)[b])
+    links = _forest(doc.tolist(), np.flatnonzero(side)[a], np.flatnonzero(~side)[b])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
+def _likely(rows: list[dict]) -> pa.RecordBatch:
+    """Documents of a tile that may be similar to one of the other side: left ones to documents of smaller ids.
+
+    A document has ``due`` tokens with the hubs it takes part for, ``own`` of
+    them with this one and ``missed`` with the hubs left out.
+    """
+    side, doc, component = _column(rows, "left"), _column(rows, "doc_id"), _column(rows, "component")
+    least, most, multiple = (_column(rows, name).astype(np.int64) for name in ("n", "most", "multiple"))
+    sets = [np.unique(np.frombuffer(b"".join(r["tokens"]), np.uint32)) for r in rows]
+    shared = _overlaps(np.repeat(np.arange(len(rows)), [len(x) for x in sets]), np.concatenate(sets), np.unique(doc, return_inverse=True)[1], side)
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    pair = lambda x: (x[left][:, None], x[right][None, :])
+    (n, m), (p, q) = pair(least), pair(multiple)
+    overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
+    # of the two prefixes the one that ends first lacks at most the rest of its set
+    required = overlap - np.maximum(-(-PERCENT * n // 100) - p, -(-PERCENT * m // 100) - q)
+    due, own, missed = (_column([rows[k] for k in left], name).astype(np.float64)[:, None] for name in ("due", "own", "missed"))
+    passes = (shared * due >= (required - missed) * own) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    # rows of one doc_id with sets of several sizes are not filtered
+    several = least != most
+    passes |= np.logical_or(*pair(several))
+    (x, y), (u, v) = pair(doc), pair(component)
+    a, b = np.nonzero((shared > 0) & passes & (x > y) & (u != v))
+    keep = np.unique(np.concatenate([left[a], right[b]]))
+    hub, open_ = _column(rows, "hub"), _column(rows, "open")
+    return pa.RecordBatch.from_arrays([pa.array(hub[keep], pa.int64()), pa.array(doc[keep], pa.int64()), pa.array(open_[keep], pa.bool_()), pa.array(side[keep], pa.bool_())], ["hub", "doc_id", "open", "kept"])
+
+
+def _by_tile(decide, rows_at_a_time: int):
+    """decide(rows) for the rows of each tile, which stand together."""
     key = lambda r: (r["hub"], r["kind"], r["i"], r["j"])
 
-    def decide() -> pa.RecordBatch:
-        links = _compare_tile(held)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_at_a_time):
+                for row in batch.slice(start, rows_at_a_time).to_pylist():
+                    if held and key(held[0]) != key(row):
+                        yield decide(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield decide(held)
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, TILE):
-            for row in batch.slice(start, TILE).to_pylist():
-                if held and key(held[0]) != key(row):
-                    yield decide()
-                    held = []
-                held.append(row)
-    if held:
-        yield decide()
+    return run
 
 
-def tiled_links(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) among the documents of each hub's lists.
+def _deal(members: DataFrame, payload: list[str], tile: int, width: int, docs: DataFrame | None = None) -> DataFrame:
+    """Rows (hub, kind, i, j, doc_id, left, payload) of tiles, each of which stands together.
 
     ``members`` (hub, doc_id, open, kept): open ones are not in the hub's
     component, and a pair needs one that is open and one that is kept.  So kept
@@ -374,15 +415,30 @@ def tiled_links(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     kinds = F.filter(F.array(
         F.when(F.col("open") & F.col("kept"), F.struct(F.lit(0).alias("kind"), F.lit(True).alias("left"))), F.struct(F.lit(0).alias("kind"), F.lit(False).alias("left")),
         F.when(~F.col("open") & F.col("kept"), F.struct(F.lit(1).alias("kind"), F.lit(True).alias("left"))), F.when(F.col("open"), F.struct(F.lit(1).alias("kind"), F.lit(False).alias("left")))), lambda x: x.isNotNull())
-    sides = members.select("hub", "doc_id", F.explode(kinds).alias("x")).select("hub", "doc_id", "x.kind", "x.left")
+    sides = members.withColumn("x", F.explode(kinds)).select("hub", "doc_id", "x.kind", "x.left", *(c for c in payload if c in members.columns))
     blocks = sides.groupBy("hub", "kind").agg(
-        F.ceil(F.sum(F.when(F.col("left"), 1).otherwise(0)) / TILE).cast("int").alias("rows"), F.ceil(F.sum(F.when(F.col("left"), 0).otherwise(1)) / TILE).cast("int").alias("columns"))
-    sides = sides.join(blocks.filter("rows > 0 and columns > 0"), ["hub", "kind"]).join(docs.select("doc_id", "text"), "doc_id")
+        F.ceil(F.sum(F.when(F.col("left"), 1).otherwise(0)) / tile).cast("int").alias("rows"), F.ceil(F.sum(F.when(F.col("left"), 0).otherwise(1)) / tile).cast("int").alias("columns"))
+    sides = sides.join(blocks.filter("rows > 0 and columns > 0"), ["hub", "kind"])
+    if docs is not None:
+        sides = sides.join(docs, "doc_id")
     place = F.pmod(F.xxhash64("doc_id"), F.when(F.col("left"), F.col("rows")).otherwise(F.col("columns"))).cast("int")
-    dealt = sides.select("hub", "kind", "doc_id", "text", "left", place.alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("columns")).otherwise(F.col("rows")) - 1)).alias("other"))
-    dealt = dealt.select("hub", "kind", "doc_id", "text", "left", F.when(F.col("left"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("own")).alias("j"))
-    dealt = dealt.repartition(width, "hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j")
-    return dealt.mapInArrow(_tiles, "a bigint, b bigint").filter("a <> b").distinct()
+    dealt = sides.select("hub", "kind", "doc_id", "left", *payload, place.alias("at"), F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("columns")).otherwise(F.col("rows")) - 1)).alias("other"))
+    dealt = dealt.select("hub", "kind", "doc_id", "left", *payload, F.when(F.col("left"), F.col("at")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("at")).alias("j"))
+    return dealt.repartition(width, "hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j")
+
+
+def tiled_links(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) among the documents of each hub's lists."""
+    dealt = _deal(members, ["text"], TILE, width, docs.select("doc_id", "text"))
+    return dealt.mapInArrow(_by_tile(_linked, TILE), "a bigint, b bigint").filter("a <> b").distinct()
+
+
+def likely_members(members: DataFrame, width: int) -> DataFrame:
+    """Those of ``members`` that may have a partner, with kept only if a pair needs it."""
+    payload = ["open", "component", "n", "most", "multiple", "due", "own", "missed", "tokens"]
+    dealt = _deal(members, payload, TOKEN_TILE, width)
+    found = dealt.mapInArrow(_by_tile(_likely, TOKEN_TILE), "hub bigint, doc_id bigint, open boolean, kept boolean")
+    return found.groupBy("hub", "doc_id").agg(F.max("open").alias("open"), F.max("kept").alias("kept"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -393,12 +449,43 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(_verify, "a bigint, b bigint").distinct()
 
 
+def _due(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """(hub, doc_id, open, kept, component, due, own, missed) of the documents of each hub's lists but the hub itself."""
+    shared = stars.filter("a <> hub").groupBy("a", "hub").agg(F.sum("shared").alias("own"), F.min("lowest").alias("lowest"), F.min("same").alias("same"))
+    whole = Window.partitionBy("a")
+    kept = F.sum("own").over(whole.orderBy("own", "hub")) >= F.min("lowest").over(whole)
+    part = lambda name, taken: F.sum(F.when(F.col("kept") == taken, F.col("own")).otherwise(0)).over(whole).alias(name)
+    shared = shared.select("a", "hub", "own", "same", kept.alias("kept")).select("*", part("due", True), part("missed", False))
+    of = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
+    component = F.coalesce("a_component", "a")
+    apart = ~F.col("same") & (component != F.coalesce("hub_component", "hub"))
+    return shared.join(of("a"), "a", "left").join(of("hub"), "hub", "left").select(
+        "hub", F.col("a").alias("doc_id"), apart.alias("open"), "kept", component.alias("component"), "due", "own", "missed")
+
+
+def _open_members(stars: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """(hub, doc_id, open, kept): documents that may be similar to one of another component; a stored table."""
+    spark = stars.sparkSession
+    members, path = scratch.stored(_due(stars, found), "members")
+    # a hub matters if one of its documents is open and one is kept
+    hubs = members.groupBy("hub").agg(F.max("open").alias("open"), F.max("kept").alias("kept")).filter("open and kept").select("hub")
+    zero = F.lit(0).cast("bigint")
+    own = members.unionByName(
+        hubs.join(found, hubs["hub"] == found["id"], "left").select(
+            "hub", F.col("hub").alias("doc_id"), F.lit(False).alias("open"), F.lit(False).alias("kept"), F.coalesce("component", "hub").alias("component"), zero.alias("due"), zero.alias("own"), zero.alias("missed")))
+    tokens = stars.join(hubs, "hub", "left_semi").groupBy("hub", F.col("a").alias("doc_id")).agg(
+        F.min("n").alias("n"), F.max("n").alias("most"), F.min("multiple").alias("multiple"), F.collect_list("tokens").alias("tokens"))
+    likely = scratch.materialise(likely_members(own.join(tokens, ["hub", "doc_id"]), width), "likely")
+    scratch.remove(spark, path)
+    return likely
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    """(doc_id, n_shingles, component_id) for each row of ``docs``; a stored table."""
     spark = docs.sparkSession
-    n = scratch.shuffle_width(spark)
+    width = scratch.shuffle_width(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = scratch.materialise(docs.mapInArrow(_survey, "doc_id bigint, n bigint, h1 bigint, h2 bigint, cell int"), "survey")
+    base, survey = scratch.stored(docs.mapInArrow(_survey, "doc_id bigint, n bigint, h1 bigint, h2 bigint, cell int"), "survey")
     rows = base.filter("cell is null")
     named = docs.filter(F.col("doc_id").isNotNull())
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2")
@@ -408,45 +495,39 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     for r in base.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SKETCH rows at most
         cells[r.cell] = r.n
     # how often a shingle of the cell occurs beyond what chance puts there
-    excess = np.maximum(1.0, cells - 2 * max(1.0, float(np.median(cells)))).astype(np.float32)
+    usual = float(np.median(cells))
+    excess = np.maximum(1.0, cells - usual - 4 * np.sqrt(usual)).astype(np.float32)
     held = spark.sparkContext.broadcast(excess)
-    lists = scratch.materialise(
-        named.mapInArrow(_poster(held, 4 * n), POSTINGS_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket, LISTS_SCHEMA), "lists")
-    scratch.release(spark)
-
-    stars = scratch.materialise(lists.mapInArrow(_stars, STARS_SCHEMA), "stars")
+    lists, path = scratch.stored(
+        named.mapInArrow(_poster(held, 4 * width), POSTINGS_SCHEMA).repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket, LISTS_SCHEMA), "lists")
+    held.destroy()
+    stars, beside = scratch.stored(lists.mapInArrow(_stars, STARS_SCHEMA), "stars")
+    scratch.remove(spark, path)
     candidates = (
-        stars.filter("possible and not same").groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+        stars.filter("possible and not same and a <> hub").groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
         .filter("shared >= needed").groupBy("a").agg(F.max(F.struct("shared", (-F.col("hub")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
     )
-    links = scratch.materialise(verified(named, candidates), "links")
-    scratch.release(spark)
-    found = components.components(copies.unionByName(links))
+    links, path = scratch.stored(verified(named, candidates), "links")
+    found, joined = components.stored_components(copies.unionByName(links))
+    scratch.remove(spark, path)
 
     # what a list still may link: documents that are not yet with its first one
-    shared = stars.groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.min("lowest").alias("lowest"), F.min("same").alias("same"))
-    rising = Window.partitionBy("a").orderBy("shared", "hub")
-    kept = F.sum("shared").over(rising) >= F.min("lowest").over(Window.partitionBy("a"))
-    of = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
-    apart = ~F.col("same") & (F.coalesce("a_component", "a") != F.coalesce("hub_component", "hub"))
-    members = shared.select("a", "hub", "same", kept.alias("kept")).join(of("a"), "a", "left").join(of("hub"), "hub", "left").select(
-        "hub", F.col("a").alias("doc_id"), apart.alias("open"), "kept")
-    members = scratch.materialise(members, "members")
-    # a hub matters if one of its documents is open and one is kept
-    hubs = members.groupBy("hub").agg(F.max("open").alias("open"), F.max("kept").alias("kept")).filter("open and kept").select("hub")
-    hubs = scratch.materialise(hubs, "hubs")
-    if not hubs.isEmpty():
-        own = members.join(hubs, "hub", "left_semi").unionByName(hubs.select("hub", F.col("hub").alias("doc_id"), F.lit(False).alias("open"), F.lit(False).alias("kept")))
-        own = scratch.materialise(own, "own")
-        texts = scratch.materialise(named.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-        scratch.release(spark)
+    own = _open_members(stars, found, width)
+    scratch.remove(spark, beside)
+    held_rows = own.count()
+    if held_rows:
+        texts, path = scratch.stored(named.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
         # a document may be compared under several hubs: so many at a time that their texts take less room than the corpus
-        batches = 1 + int(own.count() / (BATCH_SHARE * rows.count()))
-        edges = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        batches = 1 + int(held_rows / (BATCH_SHARE * rows.count()))
+        edges, paths = found.select(F.col("id").alias("a"), F.col("component").alias("b")), [path, joined]
         for k in range(batches):
-            part = own.filter(F.pmod(F.xxhash64("hub"), F.lit(batches)) == k)
-            edges = edges.unionByName(scratch.materialise(tiled_links(texts, part, n), "links"))
-            scratch.release(spark)
-        found = components.components(edges)
-    return rows.join(found, rows["doc_id"] == found["id"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            part, path = scratch.stored(tiled_links(texts, own.filter(F.pmod(F.xxhash64("hub"), F.lit(batches)) == k), width), "links")
+            edges, paths = edges.unionByName(part), [*paths, path]
+        found, joined = components.stored_components(edges)
+        for path in paths:
+            scratch.remove(spark, path)
+    result = scratch.materialise(rows.join(found, rows["doc_id"] == found["id"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")
+    for path in (survey, joined):
+        scratch.remove(spark, path)
+    return result

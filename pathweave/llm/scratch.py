@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Setting of Spark (from 4.1; others ignore it) by which a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -28,22 +32,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/pathweave-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read back, and its path for remove().
 
     Later jobs start from the files, so a lost executor never costs more than
-    the running stage, and the optimizer sees true sizes.
+    the running stage, and the optimizer sees true sizes.  The shuffle files of
+    the write go when it ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """As stored(), for a table that the caller does not remove."""
+    return stored(df, name)[0]
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no later job reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs that nothing refers to any more.
 
@@ -58,7 +77,3 @@ def release(spark: SparkSession) -> None:
     time.sleep(1)  # the cleaner works in the background
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a stored table that no later job reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
