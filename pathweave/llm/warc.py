@@ -3,8 +3,8 @@
 Writing: each capture becomes a request, a response (or revisit) and a metadata
 record.  The records are text, so Spark's own text writer puts them into
 gzipped archives in any store Spark can write.  Reading: each archive is parsed
-by Content-Length, and the three records of a capture are joined through
-WARC-Concurrent-To into one nested row.
+once, by Content-Length, and the three records of a capture meet through
+WARC-Concurrent-To in one nested row.
 
 A payload of at least ``min_payload`` bytes that several rows share is stored
 once, with the row of smallest key; the others are revisit records that carry
@@ -12,7 +12,7 @@ its digest and length.
 
 Defined cases: a null payload is an empty one; of rows that share the smallest
 key each is a response; a null key is larger than any other; repeated rows give
-a capture each; an empty table gives an empty archive folder.  Control
+a capture each; a very long payload is one record, held whole; an empty table gives an empty archive folder.  Control
 characters of a url are percent-encoded.  Extra columns are not read.
 """
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_PAYLOAD = 100
@@ -141,6 +141,10 @@ def _as_row(record: dict, with_payload: bool) -> dict:
     return row
 
 
+#: Records, and bytes of their payloads, that a reader holds at a time.
+_HELD, _HELD_BYTES = 300, 4 << 20
+
+
 def _parser(with_payload: bool):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
@@ -149,13 +153,14 @@ def _parser(with_payload: bool):
         ])
         for batch in batches:
             for content in batch.column(0):
-                rows: list[dict] = []
+                rows, held = [], 0
                 with gzip.open(io.BytesIO(content.as_buffer())) as stream:
                     for record in parse_archive(stream):
                         rows.append(_as_row(record, with_payload))
-                        if len(rows) == 300:
+                        held += len(record["block"]) if with_payload else 0
+                        if len(rows) == _HELD or held >= _HELD_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows = []
+                            rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return parse
@@ -168,12 +173,20 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: its request, response (or revisit) and metadata records."""
-    def of(kinds: list[str], name: str, at: str) -> DataFrame:
-        return records.filter(F.col("record_type").isin(kinds)).select(F.col(at).alias("capture"), F.struct(*records.columns).alias(name))
+    """One nested row for each capture: its request, response (or revisit) and metadata records.
+
+    Records meet under the identifier of their response, their own or the one
+    they are concurrent to; archives are read once.  Of several requests or
+    metadata records of a capture the one of least identifier is taken; one
+    that it lacks is null; records whose response is not there make no capture.
+    """
+    main = F.col("record_type").isin("response", "revisit")
+
+    def one(kind: Column, name: str) -> Column:
+        return F.min_by(F.when(kind, F.struct(*records.columns)), F.when(kind, F.col("record_id"))).alias(name)
 
     return (
-        of(["response", "revisit"], "response", "record_id")
-        .join(of(["request"], "request", "concurrent_to"), "capture", "left")
-        .join(of(["metadata"], "metadata", "concurrent_to"), "capture", "left")
+        records.withColumn("capture", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to"))).filter("capture is not null").groupBy("capture")
+        .agg(one(main, "response"), one(F.col("record_type") == "request", "request"), one(F.col("record_type") == "metadata", "metadata"))
+        .filter("response is not null")
     )
