@@ -19,7 +19,8 @@ the classes of equal windows; bytes are compared before a window is marked.
 
 Defined cases: a null text is empty; a null doc_id is larger than any other;
 rows with equal doc_id never remove from each other; repeated rows have equal
-results.  Extra columns are not read.
+results; a text beyond 2 MB is taken in overlapping parts of 1 MB; an empty
+table gives an empty one.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ STATE_SCHEMA = "doc bigint, version bigint, state int, places binary"
 
 def _versions(chunk: bytetext.Chunk) -> np.ndarray:
     """A hash of each whole text, to tell rows of one doc_id apart."""
-    prefix = bytetext.prefix_hashes(bytetext.BYTE_VALUES[chunk.data])
-    return bytetext.mix(bytetext.span_hashes(prefix, chunk.offsets[:-1], chunk.offsets[1:]) + np.diff(chunk.offsets).astype(np.uint64)).view(np.int64)
+    raw = chunk.data.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), np.int64)
 
 
 def _emit(group: list, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -432,24 +434,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept): spans as start, end, start, ...
 
-    Texts are shuffled once, by document; the anchors of a bucket and the
-    contexts of a gram are what else moves.
+    The anchors of a bucket, the texts of documents with open anchors, the
+    contexts of a gram, and at the end the texts beside their marks are moved
+    one after the other, each in a query of its own whose shuffle files go.
     """
     if not GRAM <= length < _SPAN:
         raise ValueError(f"strings of {GRAM} bytes at least and under {_SPAN}")
     spark = docs.sparkSession
     n = scratch.shuffle_width(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(_keyed, "doc bigint, version bigint, text string").repartition(n, "doc", "version")
-    states = scratch.materialise(
+    keyed = rows.mapInArrow(_keyed, "doc bigint, version bigint, text string")
+    states, path = scratch.stored(
         rows.mapInArrow(_round1(n * 4, length), ROUND1_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, STATE_SCHEMA), "anchors")
-    scratch.release(spark)
     open_ = states.filter("state = 2").groupBy("doc", "version").agg(F.collect_list("places").alias("wanted"))
-    contexts = (
-        dealt.join(open_, ["doc", "version"]).select("doc", "version", "text", "wanted")
-        .mapInArrow(_contexts(length), CONTEXT_SCHEMA).repartition(n, "gram").sortWithinPartitions("gram")
-    )
-    marks = states.filter("state = 1").unionByName(contexts.mapInArrow(_compare(length), STATE_SCHEMA))
-    marks = marks.groupBy("doc", "version").agg(F.collect_list("places").alias("marks"))
-    done = dealt.join(marks, ["doc", "version"], "left").select("doc", "version", "text", "marks").mapInArrow(_remove(length, with_kept), RESULT_SCHEMA)
+    contexts = keyed.join(open_, ["doc", "version"]).select("doc", "version", "text", "wanted").mapInArrow(_contexts(length), CONTEXT_SCHEMA)
+    sorted_, beside = scratch.stored(contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_compare(length), STATE_SCHEMA), "sorted")
+    marks = states.filter("state = 1").unionByName(sorted_).groupBy("doc", "version").agg(F.collect_list("places").alias("marks"))
+    marks = scratch.materialise(marks, "marks")
+    for done in (path, beside):
+        scratch.remove(spark, done)
+    done = keyed.join(marks, ["doc", "version"], "left").select("doc", "version", "text", "marks").mapInArrow(_remove(length, with_kept), RESULT_SCHEMA)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
