@@ -15,3 +15,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     back into a lambda, where it is evaluated for each element.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` has it."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name += "_"
+    return name

@@ -1,8 +1,8 @@
 """Removal of lines that repeat an earlier line, exactly or nearly: an exact set-similarity join in SQL functions.
 
 A line's tokens are its hashed word 5-shingles, or the hash of all its words if
-it has fewer than five, ordered by rarity: a table of
-fixed size counts all shingles, those of crowded cells come last, then by hash.
+it has fewer than five, ordered by rarity: a table of fixed size counts all
+shingles, those of cells fuller than chance makes them come last, then by hash.
 Two lines match if the Jaccard similarity of their token sets is
 ``PERCENT``/100 or more.  Equal lines are one representative, its first
 occurrence.  Representatives are joined on the tokens of their prefixes, under
@@ -11,15 +11,18 @@ the length and the positional filter, and pairs are verified on the whole sets.
 A line goes if any earlier line matches it, earlier by (doc_id, line number),
 judged on the input.  So that a group of near copies is not listed pair by
 pair, each token's lines are first compared with the earliest of them only; a
-line that this does not settle is then compared with all earlier lines of its
-tokens.
+line that this does not settle is then paired with the earlier lines of its
+tokens that have as many tokens in lists of several lines as must be shared.
 
 Only built-in expressions: no Python runs on executors.  Defined cases: lines
 without a word are left alone and match nothing; a line of one to four words
-matches the lines of the same words only; a null text has no line and stays null; a null doc_id comes last; rows of equal doc_id and
-text have equal results and do not remove from each other; rows of one doc_id
-with different texts are ordered by a hash of the text.  Columns of the input
-are kept, text changes, and a clash with the added columns is an error.
+matches the lines of the same words only; a null text has no line and stays
+null; a null doc_id comes last; rows of equal doc_id and text have equal results
+and do not remove from each other; rows of one doc_id with different texts are
+ordered by a hash of the text; very long texts and lines are taken whole, a row
+at a time.  Columns of the input are kept, whatever their names, and text
+changes; where the input has a column n_lines or n_removed, the added column's
+name gets an underscore.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,48 +30,62 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.llm import scratch
-from pathweave.llm.expressions import let
+from pathweave.llm.expressions import fresh, let
 
 SHINGLE = 5
 PERCENT = 80
 #: Cells of the table that counts shingles.
-CELLS = 1 << 14
-#: Passes over the stored tokens; more of them move less at a time.
-BATCHES = 4
+CELLS = 1 << 16
 _GAPS = " \t\n\r\x0b\x0c"
 _TOKEN_BITS = 56
 
 
 def normal(line: Column) -> Column:
-    return F.btrim(F.lower(line), F.lit(_GAPS))
+    """Lower case, without blanks at the ends, one blank between words."""
+    def single(x: Column) -> Column:
+        odd = reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")])
+        return F.when(odd, F.regexp_replace(x, r"[\x09-\x0D\x20]+", " ")).otherwise(x)
 
+    return let(F.btrim(F.lower(line), F.lit(_GAPS)), single)
 
-def word_hashes(line: Column) -> Column:
-    """Hashes of the words of a normal line."""
-    return F.transform(F.split(line, r"[\x09-\x0D\x20]+"), lambda w: F.xxhash64(w))
 
+def _words(lines: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of lines in normal form, their words w, and the number n of their shingles, repeated ones too."""
+    words = lines.select(*columns, F.split("line", " ").alias("w"))
+    return words.select(*columns, "w", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)).alias("n"))
 
-def shingles(line: Column) -> Column:
-    """Distinct hashed shingles of a normal line; one of all its words if they are fewer than SHINGLE."""
-    return let(word_hashes(line), lambda w: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))))
+
+def _exploded(words: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the token of each shingle; a line of fewer words than SHINGLE has one of all its words.
+
+    Rows of words are hashed in generated code: several times as fast as a
+    function of arrays, which is interpreted.
+    """
+    rows = words.select(*columns, "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return rows.select(*columns, F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)]).alias("token"))
+
+
+def _token_arrays(words: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and t, the distinct tokens of each line, the same numbers as those of _exploded()."""
+    spans = F.arrays_zip("w", *[F.slice("w", k + 1, 1 << 30) for k in range(1, SHINGLE)])
+    return words.select(*columns, F.array_distinct(F.transform(F.slice(spans, 1, F.col("n")), lambda s: F.xxhash64(s))).alias("t"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """(doc, version, text, row): the keys of a row and the row itself."""
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
+    return docs.select(doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, version, line_no, line) of the lines that take part, in normal form."""
-    keyed = _keyed(docs).select("_doc", "_version", "text")
     # normal forms come out of the generator, so that the filter below does not make them again
     parts = F.transform(F.split("text", "\n"), normal)
-    lines = keyed.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.posexplode_outer(parts).alias("line_no", "line"))
-    return lines.filter(F.col("line") != "")
+    return _keyed(docs).select("doc", "version", F.posexplode_outer(parts).alias("line_no", "line")).filter(F.col("line") != "")
 
 
 def _identity() -> list[Column]:
@@ -76,40 +93,41 @@ def _identity() -> list[Column]:
     return [F.xxhash64("line").alias("s1"), F.hash("line").alias("s2")]
 
 
+def _needed(n: Column) -> Column:
+    return F.ceil(n * PERCENT / 100).cast("int")
+
+
+def _prefix(n: Column) -> Column:
+    """Length of the prefix of a set of n tokens: two similar sets share one of them."""
+    return n - _needed(n) + 1
+
+
+def _cell(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(CELLS - 1).cast("bigint")).cast("int")
+
+
 def _rarity(lines: DataFrame) -> list[int]:
-    """For each cell of the table a class: 0 for usual counts, then one for each doubling."""
-    words = lines.select(word_hashes(F.col("line")).alias("w"))
-    places = words.select("w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))).alias("i"))
-    # the same numbers as in shingles(): an array is hashed as its elements are, and the nulls beyond its end leave the hash as it is
-    shingle = F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)])
-    counts = places.select(_cell(shingle).alias("cell")).groupBy("cell").count().collect()  # CELLS rows at most
-    usual = 2 * max(1, sorted(r["count"] for r in counts)[len(counts) // 2]) if counts else 1
+    """For each cell of the table a class: 0 for counts that chance explains, then one for each doubling of what is beyond."""
+    counts = _exploded(_words(lines)).select(_cell(F.col("token")).alias("cell")).groupBy("cell").count().collect()  # CELLS rows at most
+    usual = sorted(r["count"] for r in counts)[len(counts) // 2] if counts else 1
+    chance = usual + 4 * math.sqrt(usual)
     classes = [0] * CELLS
     for r in counts:
-        classes[r.cell] = max(0, math.ceil(math.log2(r["count"] / usual)))
+        classes[r.cell] = max(0, math.ceil(math.log2(max(r["count"] - chance, 0.5))))
     return classes
 
 
-def _cell(shingle: Column) -> Column:
-    return shingle.bitwiseAND(F.lit(CELLS - 1).cast("bigint")).cast("int")
-
-
-def ordered_tokens(line: Column, classes: list[int]) -> Column:
-    """Tokens by rarity: numbers that hold the class above 56 bits of the hash."""
+def ordered_tokens(lines: DataFrame, classes: list[int], *columns: str) -> DataFrame:
+    """``columns`` and t, the tokens by rarity: numbers that hold the class above 56 bits of the hash."""
     table = F.from_json(F.lit(str([c << _TOKEN_BITS for c in classes])), "array<bigint>")
-    return F.sort_array(F.transform(shingles(line), lambda h: F.get(table, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 64 - _TOKEN_BITS))))
-
-
-def _needed(n: Column) -> Column:
-    return F.ceil(n * PERCENT / 100).cast("int")
+    ranked = F.transform("t", lambda h: F.get(table, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 64 - _TOKEN_BITS)))
+    return _token_arrays(_words(lines, *columns), *columns).select(*columns, F.sort_array(ranked).alias("t"))
 
 
 def postings(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """(token, id, doc, n, i): tokens of each representative's prefix with their places."""
-    prefix = let(ordered_tokens(F.col("line"), classes), lambda t: F.struct(
-        F.size(t).alias("n"), F.slice(t, 1, F.size(t) - _needed(F.size(t)) + 1).alias("tokens")))
-    rows = lines.select("id", "doc", prefix.alias("prefix")).select("id", "doc", "prefix.n", "prefix.tokens")
-    return rows.select("id", "doc", "n", F.posexplode_outer("tokens").alias("i", "token"))
+    """(token, id, doc, n, i): tokens of each line's prefix with their places."""
+    rows = ordered_tokens(lines, classes, "id", "doc").select("id", "doc", F.size("t").alias("n"), F.slice("t", 1, _prefix(F.size("t"))).alias("t"))
+    return rows.select("id", "doc", "n", F.posexplode_outer("t").alias("i", "token"))
 
 
 def _length(n: str, m: str) -> Column:
@@ -122,103 +140,97 @@ def _positions(a: str, b: str) -> Column:
     return F.least(na - F.col(f"{a}.i"), nb - F.col(f"{b}.i")) * (100 + PERCENT) >= PERCENT * (na + nb)
 
 
-def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """id of the line of each pair (id, other) that is proved similar to an earlier one: the later of the two."""
-    spark = lines.sparkSession
-    ids = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    own, path = _stored(lines.select("id", "doc", "line_no", "version", "line").join(ids, "id", "left_semi"), "compared")
-    scratch.release(spark)
-    side = lambda name, at: own.select(F.col("id").alias(name), F.col("line").alias(f"line_{at}"), F.struct("doc", "line_no", "version").alias(f"at_{at}"))
-    similar = let(shingles(F.col("line_a")), lambda x: let(shingles(F.col("line_b")), lambda y: let(
-        F.size(F.array_intersect(x, y)), lambda shared: 100 * shared >= PERCENT * (F.size(x) + F.size(y) - shared))))
-    both = pairs.join(side("id", "a"), "id").join(side("other", "b"), "other").filter(similar)
-    found = scratch.materialise(both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("id")).otherwise(F.col("other")).alias("id")).distinct(), "settled")
-    scratch.remove(spark, path)
-    scratch.release(spark)
-    return found
+def _enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether two sets may be similar that share so many tokens of their prefixes.
+
+    Tokens shared beyond the prefix that ends first are among the rest of that
+    set.  No two lines share more than either has in lists of several lines.
+    """
+    return (shared + _needed(F.greatest(n, m)) - 1) * (100 + PERCENT) >= PERCENT * (n + m)
 
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = scratch.new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def compared(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, at, t): place and distinct tokens of the lines ``ids``, made once a line, not once a pair."""
+    own = _token_arrays(_words(lines.join(ids, "id", "left_semi"), "id", "doc", "line_no", "version"), "id", "doc", "line_no", "version")
+    return own.select("id", F.struct("doc", "line_no", "version").alias("at"), "t")
+
+
+def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """id of the line of each pair (id, other) that is proved similar to an earlier one: the later of the two."""
+    side = lambda name, x: own.select(F.col("id").alias(name), F.col("t").alias(f"t_{x}"), F.col("at").alias(f"at_{x}"))
+    similar = (100 + PERCENT) * F.size(F.array_intersect("t_a", "t_b")) >= PERCENT * (F.size("t_a") + F.size("t_b"))
+    both = pairs.join(side("id", "a"), "id").join(side("other", "b"), "other").filter(similar)
+    return scratch.materialise(both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("id")).otherwise(F.col("other")).alias("id")).distinct(), "settled")
 
 
 def representatives(lines: DataFrame) -> DataFrame:
-    """First occurrence of each distinct line, with a number of its own; a stored table."""
+    """First occurrence of each distinct line, how often it stands, and a number of its own."""
     first = F.min(F.struct("doc", "line_no", "version", "line")).alias("first")
-    distinct = lines.select(*_identity(), "doc", "line_no", "version", "line").groupBy("s1", "s2").agg(first).select("s1", "s2", "first.*")
-    stored = scratch.materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    scratch.release(lines.sparkSession)
-    return stored
-
-
-def similar_to_earlier(lines: DataFrame, classes: list[int], spark: SparkSession) -> DataFrame:
-    """id of the representatives that an earlier one matches."""
-    width = scratch.shuffle_width(spark)
-    posted, path = _stored(postings(lines, classes), "postings")
-    parts = [F.pmod("token", F.lit(BATCHES)) == k for k in range(BATCHES)]  # so many passes over the tokens, each of which moves a part
-    found = []
-    for part in parts:
-        dealt = posted.filter(part).repartition(width, "token")
-        hubs = dealt.groupBy("token").agg(F.min(F.struct("doc", "id", "n", "i")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
-        hubs = hubs.select("token", F.col("hub.id").alias("id"), F.col("hub.n").alias("n"), F.col("hub.i").alias("i"), "k")
-        pairs = dealt.alias("a").join(hubs.alias("h"), "token").filter("a.id <> h.id")
-        pairs = pairs.select(F.col("a.id").alias("id"), F.col("h.id").alias("other"), (_length("a.n", "h.n") & _positions("a", "h")).alias("passes"), (F.col("k") > 2).alias("more"))
-        found.append(scratch.materialise(pairs.groupBy("id", "other").agg(F.max("passes").alias("passes"), F.max("more").alias("more")), "stars"))
-        scratch.release(spark)
-    stars = reduce(DataFrame.unionByName, found).groupBy("id", "other").agg(F.max("passes").alias("passes"), F.max("more").alias("more"))
-    stars = scratch.materialise(stars, "stars")
-    scratch.release(spark)
-
+    distinct = lines.select(*_identity(), "doc", "line_no", "version", "line").groupBy("s1", "s2").agg(first, F.count("*").alias("k")).select("s1", "s2", "k", "first.*")
+    return distinct.withColumn("id", F.monotonically_increasing_id())
+
+
+def similar_to_earlier(lines: DataFrame, classes: list[int]) -> DataFrame:
+    """id of the lines that an earlier one matches."""
+    posted, path = scratch.stored(postings(lines, classes), "postings")
+    several = posted.groupBy("token").agg(F.min("doc").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    # most tokens stand in one line: what follows reads the others only
+    shared, beside = scratch.stored(posted.join(several.hint("shuffle_hash"), "token"), "shared")
+    scratch.remove(lines.sparkSession, path)
+    hubs = shared.filter("doc = first").groupBy("token").agg(F.min(F.struct("id", "n", "i")).alias("hub")).select("token", "hub.*")
+    pairs = shared.alias("a").join(hubs.alias("h"), "token").filter("a.id <> h.id")
+    pairs = pairs.select(F.col("a.id").alias("id"), F.col("h.id").alias("other"), (_length("a.n", "h.n") & _positions("a", "h")).alias("passes"), (F.col("k") > 2).alias("more"))
+    stars, path = scratch.stored(pairs.groupBy("id", "other").agg(F.max("passes").alias("passes"), F.max("more").alias("more")), "stars")
+
+    own, tokens = scratch.stored(compared(lines, stars.filter("passes or more").select(F.explode(F.array("id", "other")).alias("id")).distinct()), "compared")
     tried = stars.filter("passes").select("id", "other")
-    settled = verify(tried, lines)
+    settled = verify(tried, own)
     # a line that is not settled may match another line of its tokens than the first
     open_ = stars.filter("more").select(F.explode(F.array("id", "other")).alias("id")).distinct().join(settled, "id", "left_anti")
-    open_ = scratch.materialise(open_, "open")
-    if not open_.isEmpty():
-        later = scratch.materialise(posted.join(open_, "id", "left_semi"), "later")
-        scratch.release(spark)
-        counts, paths = [], []
-        for part in parts:
-            pairs = later.filter(part).alias("a").join(posted.filter(part).alias("b"), "token").filter((F.col("b.doc") <= F.col("a.doc")) & (F.col("a.id") != F.col("b.id")) & _length("a.n", "b.n"))
-            pairs = pairs.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(
-                F.count("*").alias("shared"), F.max(_positions("a", "b")).alias("passes"))
-            stored, at = _stored(pairs, "counts")
-            counts.append(stored)
-            paths.append(at)
-            scratch.release(spark)
-        pairs = reduce(DataFrame.unionByName, counts).groupBy("id", "other", "n", "m").agg(F.sum("shared").alias("shared"), F.max("passes").alias("passes"))
-        # tokens shared beyond the prefix that ends first are among the rest of that line
-        most = F.col("shared") + _needed(F.greatest("n", "m")) - 1
-        pairs = pairs.filter(F.col("passes") & (most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("m")))).select("id", "other")
-        pairs = scratch.materialise(pairs.join(tried, ["id", "other"], "left_anti"), "pairs")
-        for at in (path, *paths):
-            scratch.remove(spark, at)
-        scratch.release(spark)
-        settled = settled.unionByName(verify(pairs, lines)).distinct()
-    else:
-        scratch.remove(spark, path)
+    counts = shared.groupBy("id").agg(F.count("*").cast("int").alias("e"))
+    shared, at = scratch.stored(shared.join(counts, "id").select("token", "id", "doc", "n", "i", "e"), "weighed")
+    scratch.remove(lines.sparkSession, beside)
+    later, beside = scratch.stored(shared.join(open_, "id", "left_semi"), "later")
+    both = later.alias("a").join(shared.alias("b"), "token").filter(
+        (F.col("b.doc") <= F.col("a.doc")) & (F.col("a.id") != F.col("b.id")) & _length("a.n", "b.n") & _enough(F.least("a.e", "b.e"), F.col("a.n"), F.col("b.n")))
+    pairs = both.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(
+        F.count("*").alias("shared"), F.max(_positions("a", "b")).alias("passes"))
+    pairs = pairs.filter(F.col("passes") & _enough(F.col("shared"), F.col("n"), F.col("m"))).select("id", "other")
+    pairs, place = scratch.stored(pairs.join(tried, ["id", "other"], "left_anti"), "pairs")
+    settled = settled.unionByName(verify(pairs, own)).distinct()
+    for done in (path, beside, at, place, tokens):
+        scratch.remove(lines.sparkSession, done)
     return settled
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed."""
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc, version, gone): numbers of the lines to remove, of documents that have some; a stored table."""
     spark = docs.sparkSession
     lines = _lines(docs)
-    stored = representatives(lines)
-    similar = similar_to_earlier(stored, _rarity(stored), spark)
-    firsts = stored.select("s1", "s2", "id", F.col("doc").alias("d"), F.col("line_no").alias("k"), F.col("version").alias("v")).join(
-        similar.withColumn("near", F.lit(True)), "id", "left")
+    reps, path = scratch.stored(representatives(lines), "lines")
+    similar = similar_to_earlier(reps, _rarity(reps))
+    firsts = reps.select("s1", "s2", "id", "k", F.col("doc").alias("d"), F.col("line_no").alias("at"), F.col("version").alias("v")).join(
+        similar.withColumn("near", F.lit(True)), "id", "left").filter(F.col("near") | (F.col("k") > 1))
     own = lines.select(*_identity(), "doc", "version", "line_no").join(firsts, ["s1", "s2"])
-    gone = own.filter(F.col("near") | (F.col("doc") != F.col("d")) | (F.col("line_no") != F.col("k")) | (F.col("version") != F.col("v")))
-    gone = gone.groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = _keyed(docs).join(gone, ["_doc", "_version"], "left")
+    gone = own.filter(F.col("near") | (F.col("doc") != F.col("d")) | (F.col("line_no") != F.col("at")) | (F.col("version") != F.col("v")))
+    found = scratch.materialise(gone.groupBy("doc", "version").agg(F.collect_set("line_no").alias("gone")), "gone")
+    scratch.remove(spark, path)
+    return found
+
+
+def added(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two added columns."""
+    return fresh("n_lines", docs.columns), fresh("n_removed", docs.columns)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and the numbers of its lines and of those removed, named as added() says."""
+    rows = _keyed(docs).join(repeated_lines(docs), ["doc", "version"], "left")
     kept = let(F.split("text", "\n"), lambda parts: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i)), "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(
-        F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint"))
-    rows = rows.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")).withColumn("_text", text)
-    others = [f"`{c}`" for c in docs.columns if c != "text"]
-    return rows.select(*others, F.col("_text").alias("text"), "n_lines", "n_removed").select(*[f"`{c}`" for c in docs.columns], "n_lines", "n_removed")
+        F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")
+    return rows.select(
+        *[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+        *[value.alias(name) for value, name in zip((n_lines, n_removed), added(docs), strict=True)])

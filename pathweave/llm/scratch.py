@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Setting of Spark (from 4.1; others ignore it) by which a query's shuffle files go when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: beside that one, Arrow batches of a size that leaves room for what a worker makes of them.
+_SETTINGS = {_CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,12 +43,14 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -63,17 +67,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a stored table that no later job reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more.
-
-    Spark's cleaner removes them once the driver's JVM has collected its
-    references; a driver with a large heap may not do so for a long time.
-    """
-    import gc
-    import time
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner works in the background
-
-
