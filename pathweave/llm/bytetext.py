@@ -3,11 +3,14 @@
 Texts of an Arrow batch are handled as one byte array, cut into chunks of
 bounded size, so that a batch of long documents never fills a worker.  Words
 are found with masks, and hashed through prefix sums of ``value * BASE**i``
-modulo 2**64, which give the hash of any span in constant time.
+modulo 2**64, which give the hash of any span in constant time; long words are
+hashed by blake2b, as such sums of long strings can be made to agree.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -17,6 +20,26 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 1 << 20
+#: Sums modulo 2**64 of strings this long may agree by construction (Thue-Morse strings from 1,024 bytes on).
+LONG = 256
+#: Bytes of short strings whose prefix sums are held at a time.
+BLOCK_BYTES = 1 << 18
+
+
+def lean(run):
+    """``run`` for mapInArrow, after which a worker gives the memory that it no longer uses back to the system.
+
+    Workers wait for later tasks beside the JVM; what they held at most would
+    else stay theirs.
+    """
+    def kept_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return kept_small
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,7 +60,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n at least."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, BLOCK_BYTES + LONG + 1)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -59,6 +82,21 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * down[start]
 
 
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mixed hash of each data[start:end], which are in order and apart; of those of LONG bytes or more a cryptographic one."""
+    out, i = np.empty(len(start), np.uint64), 0
+    stop = np.minimum(end, start + LONG)
+    while i < len(start):
+        low = start[i]
+        j = int(np.searchsorted(start, low + BLOCK_BYTES))
+        prefix = prefix_hashes(BYTE_VALUES[data[low : stop[j - 1]]])
+        out[i:j] = mix(span_hashes(prefix, start[i:j] - low, stop[i:j] - low))
+        i = j
+    for i in np.flatnonzero(end - start >= LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 @dataclass
 class Chunk:
     """Rows first..last of a batch: their bytes, and the offsets of each text."""
@@ -126,9 +164,8 @@ def words(chunk: Chunk, pattern: str) -> Words:
     edges = chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < n)]
     before[edges] = after[edges - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    prefix = prefix_hashes(BYTE_VALUES[data])
     doc = np.searchsorted(chunk.offsets, start, "right") - 1
-    return Words(start, end, doc, mix(span_hashes(prefix, start, end)))
+    return Words(start, end, doc, string_hashes(data, start, end))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

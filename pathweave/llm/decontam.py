@@ -60,7 +60,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Stored index of all words of ``docs`` (doc_id, text), one row for each segment."""
-    return scratch.materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_segments, INDEX_SCHEMA), "index")
+    return _stored_index(docs)[0]
+
+
+def _stored_index(docs: DataFrame) -> tuple[DataFrame, str]:
+    return scratch.stored(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(bytetext.lean(_segments), INDEX_SCHEMA), "index")
 
 
 class Segment:
@@ -158,7 +162,11 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         held = spark.sparkContext.broadcast(_by_length(_hash_items(own.collect()), window))
-        parts.append(index.mapInArrow(_searcher(held), schema))
+        part = index.mapInArrow(bytetext.lean(_searcher(held)), schema)
+        if blocks > 1:  # one block's words are held at a time
+            part = scratch.materialise(part, "hits")
+            held.destroy()
+        parts.append(part)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -238,16 +246,18 @@ def proximity(index: DataFrame, text: str, distance: int) -> DataFrame:
     """(doc_id, positions) of the indexed rows where the first word of ``text`` has each other one within ``distance`` words; word numbers of the first."""
     schema = "doc_id bigint, positions array<int>"
     words = _hash_items([Row(item_id="", text=text)])
-    return index.mapInArrow(_finder(words[0][1], distance), schema) if words else index.sparkSession.createDataFrame([], schema)
+    return index.mapInArrow(bytetext.lean(_finder(words[0][1], distance)), schema) if words else index.sparkSession.createDataFrame([], schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items): one row for each row of ``docs``."""
-    index = build_index(docs)
+    """(doc_id, n_words, n_hit, n_items, items): one row for each row of ``docs``; a stored table."""
+    index, path = _stored_index(docs)
     rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ordinal", "d")).select(
         "segment", "ordinal", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("bigint").alias("n_words"))
-    return rows.join(search(index, benchmark, window), ["segment", "ordinal"], "left").select(
+    found = scratch.materialise(rows.join(search(index, benchmark, window), ["segment", "ordinal"], "left").select(
         "doc_id", "n_words",
         F.coalesce(F.size("hits"), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        F.coalesce("items", F.array().cast("array<string>")).alias("items")), "contamination")
+    scratch.remove(docs.sparkSession, path)
+    return found

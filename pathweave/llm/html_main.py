@@ -279,14 +279,14 @@ def main_text(pages: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         F.col("page_id").cast("bigint").alias("page_id"), "url", "html",
         F.xxhash64(url_filter.url_host(F.col("url"))).alias("host_hash"), F.xxhash64("page_id", "url", "html").alias("page_hash"))
     text = "page_id bigint, url string, text string"
-    done = rows.mapInArrow(_main, text)
+    done = rows.mapInArrow(bytetext.lean(_main), text)
     # one row for each distinct run of a host and task, and no more than two pages of it
-    runs = rows.select("html", "host_hash", "page_hash").mapInArrow(_runs(min_run), "host_hash bigint, run bigint, low bigint, high bigint")
+    runs = rows.select("html", "host_hash", "page_hash").mapInArrow(bytetext.lean(_runs(min_run)), "host_hash bigint, run bigint, low bigint, high bigint")
     repeated = runs.groupBy("host_hash", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("host_hash", "run")
-    bare = rows.mapInArrow(_open(min_run), f"{text.replace(', text', ', host_hash bigint, page_hash bigint, text')}, runs array<bigint>")
+    bare = rows.mapInArrow(bytetext.lean(_open(min_run)), f"{text.replace(', text', ', host_hash bigint, page_hash bigint, text')}, runs array<bigint>")
     covered = (
         bare.select("host_hash", "page_hash", F.posexplode("runs").alias("at", "run")).join(repeated, ["host_hash", "run"])
         .groupBy("page_hash").agg(F.collect_set("at").alias("covered"))
     )
-    cleared = bare.drop("runs").join(covered, "page_hash", "left").select("page_id", "url", "text", "covered").mapInArrow(_uncovered(min_run), text)
+    cleared = bare.drop("runs").join(covered, "page_hash", "left").select("page_id", "url", "text", "covered").mapInArrow(bytetext.lean(_uncovered(min_run)), text)
     return done.unionByName(cleared).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -430,14 +430,14 @@ def _deal(members: DataFrame, payload: list[str], tile: int, width: int, docs: D
 def tiled_links(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """Links (a, b) among the documents of each hub's lists."""
     dealt = _deal(members, ["text"], TILE, width, docs.select("doc_id", "text"))
-    return dealt.mapInArrow(_by_tile(_linked, TILE), "a bigint, b bigint").filter("a <> b").distinct()
+    return dealt.mapInArrow(bytetext.lean(_by_tile(_linked, TILE)), "a bigint, b bigint").filter("a <> b").distinct()
 
 
 def likely_members(members: DataFrame, width: int) -> DataFrame:
     """Those of ``members`` that may have a partner, with kept only if a pair needs it."""
     payload = ["open", "component", "n", "most", "multiple", "due", "own", "missed", "tokens"]
     dealt = _deal(members, payload, TOKEN_TILE, width)
-    found = dealt.mapInArrow(_by_tile(_likely, TOKEN_TILE), "hub bigint, doc_id bigint, open boolean, kept boolean")
+    found = dealt.mapInArrow(bytetext.lean(_by_tile(_likely, TOKEN_TILE)), "hub bigint, doc_id bigint, open boolean, kept boolean")
     return found.groupBy("hub", "doc_id").agg(F.max("open").alias("open"), F.max("kept").alias("kept"))
 
 
@@ -446,7 +446,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "left", "right").mapInArrow(bytetext.lean(_verify), "a bigint, b bigint").distinct()
 
 
 def _due(stars: DataFrame, found: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     width = scratch.shuffle_width(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base, survey = scratch.stored(docs.mapInArrow(_survey, "doc_id bigint, n bigint, h1 bigint, h2 bigint, cell int"), "survey")
+    base, survey = scratch.stored(docs.mapInArrow(bytetext.lean(_survey), "doc_id bigint, n bigint, h1 bigint, h2 bigint, cell int"), "survey")
     rows = base.filter("cell is null")
     named = docs.filter(F.col("doc_id").isNotNull())
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2")
@@ -499,9 +499,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     excess = np.maximum(1.0, cells - usual - 4 * np.sqrt(usual)).astype(np.float32)
     held = spark.sparkContext.broadcast(excess)
     lists, path = scratch.stored(
-        named.mapInArrow(_poster(held, 4 * width), POSTINGS_SCHEMA).repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket, LISTS_SCHEMA), "lists")
+        named.mapInArrow(bytetext.lean(_poster(held, 4 * width)), POSTINGS_SCHEMA).repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(bytetext.lean(_by_bucket), LISTS_SCHEMA), "lists")
     held.destroy()
-    stars, beside = scratch.stored(lists.mapInArrow(_stars, STARS_SCHEMA), "stars")
+    stars, beside = scratch.stored(lists.mapInArrow(bytetext.lean(_stars), STARS_SCHEMA), "stars")
     scratch.remove(spark, path)
     candidates = (
         stars.filter("possible and not same and a <> hub").groupBy("a", "hub").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))

@@ -36,7 +36,9 @@ SALTS = 64
 #: Distinct strings that a worker keeps with their ids.
 CACHE_STRINGS = 400_000
 SPECIAL = "<|endoftext|>"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+#: Bytes of equal hashes compared at a time.
+COMPARED_BYTES = 1 << 17
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -75,6 +77,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
+        self.strings: list[bytes] = []
         self.ids = np.zeros(1 << 20, np.uint16)
         self.first = np.zeros(CACHE_STRINGS + 1, np.int64)
 
@@ -106,31 +109,59 @@ class Encoder:
         cut[chunk.offsets[:-1][chunk.offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        hashes = bytetext.mix(bytetext.span_hashes(bytetext.prefix_hashes(bytetext.BYTE_VALUES[data]), start, end))
+        hashes = bytetext.string_hashes(data, start, end)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHE_STRINGS:
             self.clear()
         size = max(CACHE_STRINGS, len(distinct)) + 1
         if len(self.first) < size:
             self.first = np.resize(self.first, size)
-        known, slots = self.known, np.empty(len(distinct), np.int64)
+        known, slots, same = self.known, np.empty(len(distinct), np.int64), self._equal(data, start, end, where[inverse])
         for i, (h, at) in enumerate(zip(distinct.tolist(), where.tolist(), strict=True)):
-            slot = known.get(h)
+            string, slot = raw[start[at] : end[at]], known.get(h)
             if slot is None:
                 slot = known[h] = len(known)
-                ids = self.parts.encode_ordinary(raw[start[at] : end[at]].decode())
+                self.strings.append(string)
+                ids = self.parts.encode_ordinary(string.decode())
                 a, b = self.first[slot], self.first[slot] + len(ids)
                 if b > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), b), np.uint16)])
                 self.ids[a:b] = ids
                 self.first[slot + 1] = b
+            same = same and self.strings[slot] == string
             slots[i] = slot
+        if not same:  # strings that differ have one hash: take them by their bytes
+            return self._by_bytes(raw, start, end, chunk.offsets)
         slot = slots[inverse]
         lengths = self.first[slot + 1] - self.first[slot]
         ids = self.ids[bytetext.ragged(self.first[slot], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[np.searchsorted(start, chunk.offsets)]
 
+    @staticmethod
+    def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> bool:
+        """Whether each string has the bytes of the string of number ``first``."""
+        other = np.flatnonzero(first != np.arange(len(first)))
+        lengths = (end - start)[other]
+        if not (lengths == (end - start)[first[other]]).all():
+            return False
+        part = np.cumsum(lengths) // COMPARED_BYTES
+        for own in np.split(np.arange(len(other)), np.flatnonzero(np.diff(part)) + 1) if len(other) else ():
+            one, two = other[own], first[other[own]]
+            if (data[bytetext.ragged(start[one], lengths[own])] != data[bytetext.ragged(start[two], lengths[own])]).any():
+                return False
+        return True
+
+    def _by_bytes(self, raw: bytes, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known: dict[bytes, list[int]] = {}
+        strings = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        for s in strings:
+            if s not in known:
+                known[s] = self.parts.encode_ordinary(s.decode())
+        found = [known[s] for s in strings]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        return np.array([i for x in found for i in x], np.uint16), ends[np.searchsorted(start, offsets)]
+
 
 @cache
 def _encoder(json: str, ranks: str) -> Encoder:
@@ -176,7 +207,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, fi
     """Tokenise whole texts; only documents longer than ``capacity`` are cut, the first piece takes what is over."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _piece_maker(files or tokenizer_files(), capacity, with_ids), schema)
+        bytetext.lean(_piece_maker(files or tokenizer_files(), capacity, with_ids)), schema)
 
 
 class CapacityTree:
@@ -257,6 +288,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tup
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces; ``cut`` should be a stored table, it is read twice."""
     spark = cut.sparkSession
+    whole, cut = cut.filter(F.col("length") == capacity), cut.filter(F.col("length") < capacity)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     groups = cut.groupBy("length", "salt").count().collect()  # capacity x SALTS rows at most
     totals: dict[int, int] = defaultdict(int)
@@ -273,9 +305,11 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumn("run", F.size(F.filter("ranks", lambda r: r <= F.col("rank"))))
     at = {name: F.element_at(name, F.col("run")) for name in ("ranks", "firsts", "offsets", "each")}
     inside = F.col("rank") - at["ranks"]
-    return ranked.withColumn("sequence_id", at["firsts"] + F.floor(inside / at["each"]).cast("bigint")).withColumn(
+    ranked = ranked.withColumn("sequence_id", at["firsts"] + F.floor(inside / at["each"]).cast("bigint")).withColumn(
         "offset", at["offsets"] + F.pmod(inside, at["each"]) * F.col("length")
     ).drop("salt", "n", "base", "ranks", "firsts", "offsets", "each", "rank", "run")
+    # a piece that fills its sequence needs no rank: its sequence has a number below those of the others
+    return ranked.unionByName(whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

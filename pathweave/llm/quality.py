@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
         .groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     # the limit above bounds what is broadcast, and with it the rows collected
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_rows_of, "label int, x array<float>").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(bytetext.lean(_rows_of), "label int, x array<float>").toPandas()
     if not len(found):
         return Trees().freeze()
     order = np.lexsort((*np.stack(found["x"]).T, found["label"]))  # whichever order the rows came in
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep)
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
-    return docs.select(*keep, F.col("text")).mapInArrow(_scorer(held), schema)
+    return docs.select(*keep, F.col("text")).mapInArrow(bytetext.lean(_scorer(held)), schema)
 
 
 def _chooser(held, least: float):
@@ -243,4 +243,4 @@ def _chooser(held, least: float):
 def accepted(docs: DataFrame, model: Trees, least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is ``least`` or more."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_chooser(held, least), docs.schema)
+    return docs.mapInArrow(bytetext.lean(_chooser(held, least)), docs.schema)

@@ -443,15 +443,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
     spark = docs.sparkSession
     n = scratch.shuffle_width(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.mapInArrow(_keyed, "doc bigint, version bigint, text string")
+    keyed = rows.mapInArrow(bytetext.lean(_keyed), "doc bigint, version bigint, text string")
     states, path = scratch.stored(
-        rows.mapInArrow(_round1(n * 4, length), ROUND1_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, STATE_SCHEMA), "anchors")
+        rows.mapInArrow(bytetext.lean(_round1(n * 4, length)), ROUND1_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(bytetext.lean(_settle), STATE_SCHEMA), "anchors")
     open_ = states.filter("state = 2").groupBy("doc", "version").agg(F.collect_list("places").alias("wanted"))
-    contexts = keyed.join(open_, ["doc", "version"]).select("doc", "version", "text", "wanted").mapInArrow(_contexts(length), CONTEXT_SCHEMA)
-    sorted_, beside = scratch.stored(contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_compare(length), STATE_SCHEMA), "sorted")
+    contexts = keyed.join(open_, ["doc", "version"]).select("doc", "version", "text", "wanted").mapInArrow(bytetext.lean(_contexts(length)), CONTEXT_SCHEMA)
+    sorted_, beside = scratch.stored(contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(bytetext.lean(_compare(length)), STATE_SCHEMA), "sorted")
     marks = states.filter("state = 1").unionByName(sorted_).groupBy("doc", "version").agg(F.collect_list("places").alias("marks"))
     marks = scratch.materialise(marks, "marks")
     for done in (path, beside):
         scratch.remove(spark, done)
-    done = keyed.join(marks, ["doc", "version"], "left").select("doc", "version", "text", "marks").mapInArrow(_remove(length, with_kept), RESULT_SCHEMA)
+    done = keyed.join(marks, ["doc", "version"], "left").select("doc", "version", "text", "marks").mapInArrow(bytetext.lean(_remove(length, with_kept)), RESULT_SCHEMA)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
