@@ -149,14 +149,27 @@ def _enough(shared: Column, n: Column, m: Column) -> Column:
     return (shared + _needed(F.greatest(n, m)) - 1) * (100 + PERCENT) >= PERCENT * (n + m)
 
 
+def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: whether column ``key`` may be one of ``keys``, so that a join with few rows moves few.
+
+    What is broadcast is a bitmap: at most CELLS rows of 64 bits.
+    """
+    h = F.xxhash64(key)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    words = keys.groupBy(_cell(h).alias("cell")).agg(F.bit_or(bit).alias("bits"))
+    held = rows.withColumn("cell", _cell(h)).join(F.broadcast(words), "cell", "left")
+    return held.withColumn("marked", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("cell", "bits")
+
+
 def compared(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, at, t): place and distinct tokens of the lines ``ids``, made once a line, not once a pair."""
-    own = _token_arrays(_words(lines.join(ids, "id", "left_semi"), "id", "doc", "line_no", "version"), "id", "doc", "line_no", "version")
+    own = _token_arrays(_words(_marked(lines, "id", ids).filter("marked").join(ids, "id", "left_semi"), "id", "doc", "line_no", "version"), "id", "doc", "line_no", "version")
     return own.select("id", F.struct("doc", "line_no", "version").alias("at"), "t")
 
 
 def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """id of the line of each pair (id, other) that is proved similar to an earlier one: the later of the two."""
+    own = _marked(own, "id", pairs.select(F.explode(F.array("id", "other")).alias("id"))).filter("marked")
     side = lambda name, x: own.select(F.col("id").alias(name), F.col("t").alias(f"t_{x}"), F.col("at").alias(f"at_{x}"))
     similar = (100 + PERCENT) * F.size(F.array_intersect("t_a", "t_b")) >= PERCENT * (F.size("t_a") + F.size("t_b"))
     both = pairs.join(side("id", "a"), "id").join(side("other", "b"), "other").filter(similar)
@@ -225,7 +238,11 @@ def added(docs: DataFrame) -> tuple[str, str]:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and the numbers of its lines and of those removed, named as added() says."""
-    rows = _keyed(docs).join(repeated_lines(docs), ["doc", "version"], "left")
+    repeated, rows = repeated_lines(docs), _keyed(docs)
+    # texts that stay as they are do not move
+    rows = _marked(rows, "doc", repeated.select("doc"))
+    same = rows.filter("not marked").withColumn("gone", F.lit(None).cast("array<int>"))
+    rows = rows.filter("marked").join(repeated, ["doc", "version"], "left").unionByName(same)
     kept = let(F.split("text", "\n"), lambda parts: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
