@@ -15,6 +15,8 @@ from pathweave.plans import manifest
 from pathweave.sources import jsonapi
 
 VERSION = "0.1.0"
+#: Public host of the dump files (fixed value).
+DUMP_HOST = "https://dumps.wikimedia.org"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--dumps", required=True, help="folder of PREFIX-DATE-TABLE.sql.gz files")
         c.add_argument("--prefix", default="wiki")
         c.add_argument("--clean", action="store_true", help="remove builds of other dates")
+        c.add_argument("--check", action="store_true", help="first report dump statements that are not understood")
         if name == "pull":
             c.add_argument("--top-pages", required=True)
             c.add_argument("--base-url", required=True)
@@ -38,11 +41,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("documents", help="folder of dump status documents")
     c.add_argument("--date", action="store_true")
     c.add_argument("--urls", action="store_true")
+    c.add_argument("--relative", action="store_true", help="URLs as the documents give them, relative to the host")
+    c.add_argument("--host", default=DUMP_HOST)
     c = commands.add_parser("sitemap")
     c.add_argument("--top-pages", required=True)
     c.add_argument("--base-url", required=True)
     commands.add_parser("make-top-graph").add_argument("--top-pages", required=True)
-    for name in ("status", "random", "validate", "version"):
+    for name in ("status", "random", "probe", "validate", "version"):
         commands.add_parser(name)
     return p
 
@@ -54,8 +59,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     spark = spark or SparkSession.builder.appName("pathweave").getOrCreate()
     engine = GraphEngine(spark, args.data, getattr(args, "dump_date", None))
+    if getattr(args, "check", False):
+        for r in engine.malformed(args.dumps, args.prefix).orderBy("file").collect():
+            print(f"{r.file}: {r.statements} statements not fully understood", file=sys.stderr)
     if args.command == "build":
-        print(json.dumps(vars(engine.build(engine.dump_tables(args.dumps, args.prefix), clean=args.clean))))
+        built = engine.build(engine.dump_tables(args.dumps, args.prefix), clean=args.clean)
+        print(json.dumps(vars(built) | {"rates": built.rates()}))
     elif args.command == "pull":
         articles = jsonapi.top_pages(jsonapi.read_documents(spark, args.top_pages))
         done = engine.refresh(engine.dump_tables(args.dumps, args.prefix), articles, args.base_url, args.clean)
@@ -82,7 +91,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(day)
         if args.urls:
             for r in jsonapi.dump_files(documents).filter(f"split_part(url, '/', 3) = '{day}'").select("url").distinct().orderBy("url").toLocalIterator():
-                print(r.url)
+                print(r.url if args.relative or "://" in r.url else args.host.rstrip("/") + r.url)
     elif args.command == "sitemap":
         print("\n".join(engine.sitemap(jsonapi.top_pages(jsonapi.read_documents(spark, args.top_pages)), args.base_url)))
     elif args.command == "make-top-graph":
@@ -93,6 +102,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         page = engine.random_page()
         print(json.dumps(page))
         return int(page is None)
+    elif args.command == "probe":
+        probe = engine.probe()
+        print(json.dumps(probe))
+        return int(probe is None)
     elif args.command == "validate":
         rows = engine.validate().collect()
         for r in rows:

@@ -36,28 +36,40 @@ class GraphEngine:
         status = manifest.load(self.spark, self.folder)
         status.dump_date = self.dump_date
         if not status.vertexes_loaded:
-            self._write(resolve.vertexes(tables["page"]), "vertexes")
-            status.vertex_count, status.vertexes_loaded = self.vertexes.count(), True
+            status.vertex_count = self._stage(status, "vertexes", resolve.vertexes(tables["page"]))
+            status.vertexes_loaded = True
             manifest.save(self.spark, self.folder, status)
         if not status.redirects_resolved:
-            self._write(resolve.redirects(tables["redirect"], self.vertexes), "redirects")
+            self._stage(status, "redirects", resolve.redirects(tables["redirect"], self.vertexes))
             status.redirects_resolved = True
             manifest.save(self.spark, self.folder, status)
         if not status.edges_resolved:
-            self._write(resolve.links(tables["pagelinks"], resolve.link_targets(tables["linktarget"])), "links")
+            status.edge_count = self._stage(status, "links", resolve.links(tables["pagelinks"], resolve.link_targets(tables["linktarget"])))
             links = self.read("links", schema.LINKS)
-            self._write(resolve.edges(links, self.vertexes, self.read("redirects", schema.REDIRECTS)), "edges")
-            status.edge_count, status.resolved_edge_count, status.edges_resolved = links.count(), self.edges.count(), True
+            status.resolved_edge_count = self._stage(status, "edges", resolve.edges(links, self.vertexes, self.read("redirects", schema.REDIRECTS)))
+            status.edges_resolved = True
             manifest.save(self.spark, self.folder, status)
         if not status.edges_sorted:
-            # by source, so that lists of one vertex lie in one file and scans skip the others
-            self._write(adjacency.adjacency(self.edges, self.vertexes).repartitionByRange("id").sortWithinPartitions("id"), "adjacency")
+            # by id, so that what belongs to one vertex lies in one file and scans skip the others
+            self._stage(status, "adjacency", adjacency.adjacency(self.edges, self.vertexes).repartitionByRange("id").sortWithinPartitions("id"))
+            self._stage(status, "degrees", adjacency.degrees(self.edges).repartitionByRange("id").sortWithinPartitions("id"))
+            # edges by source (side f) and by target (side b)
+            steps = self._stage(status, "steps", bfs.steps(self.edges).repartitionByRange("side", "v").sortWithinPartitions("side", "v", "w"))
+            status.distinct_edge_count = steps // 2
             status.edges_sorted = status.build_complete = True
             manifest.save(self.spark, self.folder, status)
         if publish:
             manifest.publish(self.spark, self.base, self.dump_date, clean)
         return status
 
+    def _stage(self, status: manifest.Manifest, name: str, df: DataFrame) -> int:
+        """Store a table and note its rows and seconds."""
+        began = time.time()
+        self._write(df, name)
+        status.stage_rows[name] = self.read(name).count()
+        status.stage_seconds[name] = round(time.time() - began, 3)
+        return status.stage_rows[name]
+
     def _write(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
@@ -75,6 +87,24 @@ class GraphEngine:
     def edges(self) -> DataFrame:
         return self.read("edges")
 
+    @property
+    def graph(self) -> bfs.Ways:
+        """What searches read: the stored steps and degrees."""
+        status = manifest.load(self.spark, self.folder)
+        if "steps" in status.stage_rows:
+            return bfs.Ways(self.read("steps"), self.read("degrees"), status.distinct_edge_count)
+        return bfs.ways_of(self.edges)  # a build of an older version
+
+    def malformed(self, folder: str, prefix: str) -> DataFrame:
+        """(file, statements): dump statements that hold more than well-formed tuples; those are not loaded."""
+        found = [
+            sqldump.malformed(sqldump.read_lines(self.spark, f"{folder}/{prefix}-{self.dump_date}-{name}.sql.gz"), name).select(F.lit(name).alias("file"))
+            for name in DUMP_FILES]
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        return rows.groupBy("file").agg(F.count("*").alias("statements"))
+
     def failures(self) -> tuple[DataFrame, DataFrame]:
         """(links to titles no page has, redirect pages without a target)."""
         return resolve.unresolved_links(self.read("links"), self.vertexes), resolve.redirect_failures(self.vertexes, self.read("redirects"))
@@ -90,28 +120,29 @@ class GraphEngine:
 
     def shortest_paths(self, pairs: DataFrame, record: bool = True, validate: bool = False) -> DataFrame:
         """All shortest paths of pairs (source_id, target_id), from the cache where it has them."""
-        pairs = storage.stored(pairs.select("source_id", "target_id").distinct(), "pairs")
-        if validate:
-            ends = pairs.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-            missing = ends.join(self.vertexes.select("id"), "id", "left_anti").limit(5).collect()
-            if missing:
-                raise KeyError(f"no such pages: {[r.id for r in missing]}")
-        began = time.time()
-        known = self.read("path", schema.PATH_CACHE)
-        found, new = cache.cached_paths(pairs, self.edges, known)
-        found = storage.stored(found, "paths")
-        if record:
-            seconds = time.time() - began
-            storage.stored(new, "cache").withColumn("duration", F.lit(seconds)).write.mode("append").parquet(f"{self.folder}/path")
-            log = pairs.select(F.col("source_id").alias("source_page_id"), F.col("target_id").alias("target_page_id"), F.current_timestamp().alias("timestamp"), F.lit(int(seconds * 1000)).alias("duration").cast("bigint"))
-            log.write.mode("append").parquet(f"{self.base}/master/search")
-        return found
+        with storage.scope(self.spark):
+            pairs = storage.stored(pairs.select("source_id", "target_id").distinct(), "pairs")
+            if validate:
+                ends = pairs.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+                missing = ends.join(self.vertexes.select("id"), "id", "left_anti").limit(5).collect()
+                if missing:
+                    raise KeyError(f"no such pages: {[r.id for r in missing]}")
+            began = time.time()
+            found, new = cache.cached_paths(pairs, self.graph, self.read("path", schema.PATH_CACHE))
+            found = storage.stored(found, "paths", keep=True)
+            if record:
+                seconds = time.time() - began
+                new.withColumn("duration", F.lit(seconds)).write.mode("append").parquet(f"{self.folder}/path")
+                log = pairs.select(F.col("source_id").alias("source_page_id"), F.col("target_id").alias("target_page_id"), F.current_timestamp().alias("timestamp"), F.lit(int(seconds * 1000)).alias("duration").cast("bigint"))
+                log.write.mode("append").parquet(f"{self.base}/master/search")
+            return found
 
     def query(self, source_id: int, target_id: int, record: bool = True, validate: bool = False) -> dict:
         """{paths, count, degrees, duration in ms} of one pair."""
         began = time.time()
         pair = self.spark.createDataFrame([(source_id, target_id)], "source_id bigint, target_id bigint")
-        found = sorted(r.path for r in self.shortest_paths(pair, record, validate).collect())
+        with storage.scope(self.spark):
+            found = sorted(r.path for r in self.shortest_paths(pair, record, validate).collect())
         return {"paths": found, "count": len(found), "degrees": max(map(len, found)) - 1 if found else None, "duration": int((time.time() - began) * 1000)}
 
     def paths_by_title(self, source: str, target: str) -> list[str]:
@@ -121,18 +152,24 @@ class GraphEngine:
             if end is None:
                 raise KeyError(title)
         pair = self.spark.createDataFrame([(ends[0].id, ends[1].id)], "source_id bigint, target_id bigint")
-        found = storage.stored(bfs.shortest_paths(pair, self.edges), "paths")
-        return sorted(r.titles for r in paths.path_titles(found, self.vertexes).collect())
+        with storage.scope(self.spark):
+            found = storage.stored(bfs.shortest_paths(pair, self.graph), "paths")
+            return sorted(r.titles for r in paths.path_titles(found, self.vertexes).collect())
 
     def neighbors(self, title: str) -> DataFrame:
         page = lookup.by_title(self.vertexes, title).first()
         if page is None:
             raise KeyError(title)
-        return adjacency.neighbors(page.id, self.edges, self.vertexes)
+        return adjacency.read_edges(page.id, self.read("adjacency"), self.vertexes)
 
     def random_page(self, seed: int | None = None) -> dict | None:
         return lookup.random_page(self.vertexes, seed)
 
+    def probe(self, seed: int | None = None) -> dict | None:
+        """Search between two pages drawn at random, none of them a redirect; None if there are fewer than two."""
+        ends = [r.id for r in lookup.random_pages(self.vertexes, 2, seed).collect()]
+        return {"source": ends[0], "target": ends[1], **self.query(*ends)} if len(ends) == 2 else None
+
     def long_paths_report(self, least: int = 5, limit: int = 20) -> DataFrame:
         return cache.long_paths(self.read("path", schema.PATH_CACHE), self.vertexes, least, limit)
 
@@ -143,14 +180,16 @@ class GraphEngine:
     # -------------------------------------------------------- derived products
 
     def make_top_graph(self, articles: DataFrame, pages: int = 10) -> str:
-        points, raw, _ = toppages.top_graph(toppages.ranked(articles, self.vertexes, pages), self.vertexes, self.edges)
         path = f"{self.folder}/topgraph.json"
-        toppages.write_top_graph(self.spark, points, raw, path)
+        with storage.scope(self.spark):
+            points, raw, _ = toppages.top_graph(toppages.ranked(articles, self.vertexes, pages), self.vertexes, self.graph)
+            toppages.write_top_graph(self.spark, points, raw, path)
         return path
 
     def sitemap(self, articles: DataFrame, base_url: str) -> list[str]:
-        top = storage.stored(toppages.ranked(articles, self.vertexes), "top")
-        return toppages.write_sitemap(self.spark, toppages.sitemap_urls(top, base_url), f"{self.folder}/sitemaps", base_url)
+        with storage.scope(self.spark):
+            top = storage.stored(toppages.ranked(articles, self.vertexes), "top")
+            return toppages.write_sitemap(self.spark, toppages.sitemap_urls(top, base_url), f"{self.folder}/sitemaps", base_url)
 
     def refresh(self, tables: dict[str, DataFrame], articles: DataFrame, base_url: str, clean: bool = False) -> bool:
         """Build, sitemap and top graph, unless this date is published and complete."""

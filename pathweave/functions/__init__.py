@@ -24,6 +24,16 @@ def job_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
+def previous_month(day: Column) -> Column:
+    """The month before a date as yyyy/MM, by which monthly page views are named."""
+    return F.date_format(F.add_months(day, -1), "yyyy/MM")
+
+
+def days_before(day: Column, n: int) -> Column:
+    """The date n days earlier as yyyyMMdd, by which dumps are named."""
+    return F.date_format(F.date_sub(day, n), "yyyyMMdd")
+
+
 def url_part(url: Column, n: int) -> Column:
     """The n-th part (from 1) between slashes; empty if there are fewer."""
     return F.split_part(url, F.lit("/"), F.lit(n))

@@ -31,6 +31,13 @@ def neighbors(vertex_id: int, edges: DataFrame, vertexes: DataFrame) -> DataFram
     return out.unionByName(back).distinct().join(vertexes.select("id", "title"), "id", "left").select("direction", "id", "title")
 
 
+def read_edges(vertex_id: int, lists: DataFrame, vertexes: DataFrame) -> DataFrame:
+    """As neighbors(), from stored neighbour lists (id, outgoing, incoming): a point read."""
+    own = lists.filter(F.col("id") == vertex_id)
+    way = lambda name, column: own.select(F.lit(name).alias("direction"), F.explode(column).alias("id"))
+    return way("out", "outgoing").unionByName(way("in", "incoming")).distinct().join(vertexes.select("id", "title"), "id", "left").select("direction", "id", "title")
+
+
 def validate(edges: DataFrame, vertexes: DataFrame) -> DataFrame:
     """(check, failures): all zero for a sound graph."""
     top = vertexes.agg(F.max("id").alias("top"), F.count("*").alias("n"), F.sum(F.when(F.col("id").isNull() | (F.col("id") <= 0), 1).otherwise(0)).alias("bad"))

@@ -12,7 +12,13 @@ Graphs whose edges are counted and few are broadcast instead (bfs_local).
 
 Levels are stored tables: lineage never grows and a lost executor costs one
 level at most.  Sizes of stored frontiers are known, so Spark broadcasts small
-ones by itself and shuffles large ones.
+ones by itself and shuffles large ones.  There is no limit on levels: a search
+ends when the frontiers meet or one of them is empty.  Pairs are told apart by
+their two ids.
+
+A graph that is searched again and again is given as Ways, stored once: steps
+lie sorted by vertex, and a frontier of few vertices is looked up by their ids,
+which lets the scan skip the row groups of others.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ from pyspark.sql import functions as F
 
 from pathweave.operators import bfs_local
 from pathweave.operators.adjacency import degrees
-from pathweave.plans.storage import stored
+from pathweave.plans.storage import Rounds, stored
 
-MAX_LEVELS = 100
+#: Frontiers of at most this many vertices are looked up by id in the stored steps.
+FEW_VERTICES = 1_000
 
 
 def search_edges(edges: DataFrame) -> DataFrame:
@@ -52,60 +59,79 @@ class Search:
         self.pairs, self.log, self.meets, self.deepest = pairs, log, meets, deepest
 
 
-def search(pairs: DataFrame, edges: DataFrame, max_levels: int = MAX_LEVELS) -> Search:
-    """Search all (pair_id, source_id, target_id); pairs of equal ends need no graph."""
+class Ways:
+    """What searches read of a graph: its steps, its degrees, and the number of its distinct edges if that is known."""
+
+    def __init__(self, steps: DataFrame, degree: DataFrame, n_edges: int | None = None):
+        self.steps, self.degree, self.n_edges = steps, degree, n_edges
+
+    def edges(self) -> DataFrame:
+        return self.steps.filter("side = 'f'").select(F.col("v").alias("src"), F.col("w").alias("dst"))
+
+
+def ways_of(edges: DataFrame) -> Ways:
+    return Ways(stored(steps(edges), "steps"), stored(degrees(edges), "degrees"))
+
+
+def _few(frontier: DataFrame) -> list[int] | None:
+    """Vertices of a small frontier."""
+    ids = [r.v for r in frontier.select("v").distinct().limit(FEW_VERTICES + 1).collect()]
+    return ids if len(ids) <= FEW_VERTICES else None
+
+
+def search(pairs: DataFrame, graph: DataFrame | Ways) -> Search:
+    """Search all (pair_id, source_id, target_id) in a graph, given as edges or stored Ways; pairs of equal ends need no graph."""
+    spark = pairs.sparkSession
     pairs = stored(pairs.select("pair_id", "source_id", "target_id"), "pairs")
-    ways, degree = stored(steps(edges), "steps"), stored(degrees(edges), "degrees")
     open_ = pairs.filter("source_id <> target_id")
+    if open_.isEmpty():
+        return Search(pairs, None, None, 0)
+    ways = graph if isinstance(graph, Ways) else ways_of(graph)
     ends = F.array(F.struct(F.lit("f").alias("side"), F.col("source_id").alias("v")), F.struct(F.lit("b").alias("side"), F.col("target_id").alias("v")))
-    frontier = open_.select("pair_id", F.explode(ends).alias("e")).select("pair_id", "e.side", "e.v")
-    log = stored(frontier.select("*", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("level")), "level")
-    state = stored(open_.select("pair_id", F.lit(0).alias("f"), F.lit(0).alias("b")), "state")
-    meets: DataFrame | None = None
+    first = open_.select("pair_id", F.explode(ends).alias("e")).select("pair_id", "e.side", "e.v", F.lit(0).alias("f"), F.lit(0).alias("b"))
+    frontier = stored(first, "frontier")
+    level = frontier.select("pair_id", "side", "v", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("level"))
+    log, meets = Rounds(spark, "levels"), Rounds(spark, "meets")
+    log.add(level)
     deepest = 0
-    for _ in range(max_levels):
+    while True:
+        few = _few(frontier)
+        degree = ways.degree if few is None else ways.degree.filter(F.col("id").isin(few))
+        near = ways.steps if few is None else ways.steps.filter(F.col("v").isin(few))
         at = F.when(F.col("side") == "f", F.col("f")).otherwise(F.col("b"))
-        frontier = log.join(state, "pair_id").filter(F.col("level") == at).select("pair_id", "side", "v", "f", "b").distinct()
-        costs = frontier_cost(frontier, degree)
-        chosen = costs.select("pair_id", F.when(F.col("f_cost") < F.col("b_cost"), "f").otherwise("b").alias("side"))
-        grown = (
-            frontier.join(chosen, ["pair_id", "side"]).join(ways, ["side", "v"])
+        chosen = frontier_cost(frontier, degree).select("pair_id", F.when(F.col("f_cost") < F.col("b_cost"), "f").otherwise("b").alias("side"))
+        grown = stored(
+            frontier.join(chosen, ["pair_id", "side"]).join(near, ["side", "v"])
             .select("pair_id", "side", F.col("w").alias("v"), F.col("v").alias("parent"), (at + 1).alias("level"), "f", "b").distinct()
-            .join(log.select("pair_id", "side", "v"), ["pair_id", "side", "v"], "left_anti")
-        )
-        grown = stored(grown, "level")
-        new = grown.groupBy("pair_id", "side", "f", "b").agg(F.count("*").alias("n"))
-        facing = log.select("pair_id", F.col("side").alias("other"), "v", F.col("level").alias("facing"))
-        met = grown.select("pair_id", "side", "v", "f", "b").distinct().join(facing, ["pair_id", "v"]).filter(
-            (F.col("side") != F.col("other")) & (F.col("facing") == F.when(F.col("side") == "f", F.col("b")).otherwise(F.col("f"))))
-        moved = {s: F.when(F.col("side") == s, F.col(s) + 1).otherwise(F.col(s)).alias(s) for s in "fb"}
-        met = stored(met.select("pair_id", "v", *moved.values()), "meets")
-        # a pair whose side found nothing new is closed without a path
-        state = stored(new.select("pair_id", *moved.values()).join(met.select("pair_id").distinct(), "pair_id", "left_anti"), "state")
-        log = log.unionByName(grown.drop("f", "b"))
-        meets = met if meets is None else meets.unionByName(met)
+            .join(log.all().select("pair_id", "side", "v"), ["pair_id", "side", "v"], "left_anti"), "grown")
+        log.add(grown.select(*level.columns))
         deepest += 1
-        if state.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no end after {max_levels} levels")
-    return Search(pairs, log, meets, deepest)
+        moved = {s: F.when(F.col("side") == s, F.col(s) + 1).otherwise(F.col(s)).alias(s) for s in "fb"}
+        new = grown.select("pair_id", "side", "v", *moved.values()).distinct()
+        facing = frontier.select("pair_id", F.col("side").alias("other"), "v")
+        met = meets.add(new.join(facing, ["pair_id", "v"]).filter(F.col("side") != F.col("other")).select("pair_id", "v", "f", "b"))
+        # a pair whose side found nothing new is closed without a path, one whose frontiers met with its paths
+        going = new.join(met.select("pair_id").distinct(), "pair_id", "left_anti")
+        sides = going.select("pair_id", F.col("side").alias("moved"), "f", "b").distinct()
+        kept = frontier.drop("f", "b").join(sides, "pair_id").filter(F.col("side") != F.col("moved")).select("pair_id", "side", "v", "f", "b")
+        frontier = stored(going.unionByName(kept), "frontier")
+        if frontier.isEmpty():
+            return Search(pairs, log.all(), meets.all(), deepest)
+
+
+def _parents(found: Search, side: str) -> DataFrame:
+    return found.log.filter((F.col("side") == side) & F.col("parent").isNotNull()).select("pair_id", F.col("v").alias("head"), "parent", "level")
 
 
 def _trace(found: Search, side: str) -> DataFrame:
     """(pair_id, v, path): every way from a meeting vertex back to the side's end, which stands first for f and last for b."""
-    parents = found.log.filter((F.col("side") == side) & F.col("parent").isNotNull()).select("pair_id", F.col("v").alias("head"), "parent", "level")
-    ways = found.meets.select("pair_id", "v", F.col(side).alias("left"), F.col("v").alias("head"), F.array("v").alias("path"))
-    done = ways.filter("left = 0").select("pair_id", "v", "path")
-    for k in range(found.deepest):
-        ways = ways.filter("left > 0").join(parents, ["pair_id", "head"]).filter(F.col("level") == F.col("left"))
-        path = F.concat(F.array("parent"), "path") if side == "f" else F.concat("path", F.array("parent"))
-        ways = ways.select("pair_id", "v", (F.col("left") - 1).alias("left"), F.col("parent").alias("head"), path.alias("path"))
-        ways = stored(ways, "ways")
-        done = done.unionByName(ways.filter("left = 0").select("pair_id", "v", "path"))
-        if ways.filter("left > 0").isEmpty():
-            break
-    return done
+    rounds = Rounds(found.log.sparkSession, "ways")
+    ways = rounds.add(found.meets.select("pair_id", "v", F.col(side).alias("left"), F.col("v").alias("head"), F.array("v").alias("path")))
+    path = F.concat(F.array("parent"), "path") if side == "f" else F.concat("path", F.array("parent"))
+    while not ways.filter("left > 0").isEmpty():
+        ways = ways.filter("left > 0").join(_parents(found, side), ["pair_id", "head"]).filter(F.col("level") == F.col("left"))
+        ways = rounds.add(ways.select("pair_id", "v", (F.col("left") - 1).alias("left"), F.col("parent").alias("head"), path.alias("path")))
+    return rounds.all().filter("left = 0").select("pair_id", "v", "path")
 
 
 def render(found: Search) -> DataFrame:
@@ -118,40 +144,38 @@ def render(found: Search) -> DataFrame:
     return same.unionByName(found.pairs.join(joined, "pair_id").select("pair_id", "source_id", "target_id", "path"))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_levels: int = MAX_LEVELS, strategy: str = "auto") -> DataFrame:
+def _numbered(pairs: DataFrame) -> DataFrame:
+    return pairs.select("source_id", "target_id").distinct().withColumn("pair_id", F.struct("source_id", "target_id"))
+
+
+def shortest_paths(pairs: DataFrame, graph: DataFrame | Ways, strategy: str = "auto") -> DataFrame:
     """(source_id, target_id, path) for pairs (source_id, target_id); a pair without a path has no row.
 
     ``strategy`` is "levels" (joins, any size), "broadcast" (the graph beside
-    each task, bounded size) or "auto", which counts the edges and decides.
+    each task, bounded size) or "auto", which decides by the number of edges.
     """
-    pairs = pairs.select("source_id", "target_id").distinct()
     if strategy != "levels":
-        edges = stored(search_edges(edges), "edges")
-        if strategy == "broadcast" or edges.count() <= bfs_local.MAX_EDGES:
-            return bfs_local.shortest_paths(pairs, edges)
-    numbered = pairs.withColumn("pair_id", F.xxhash64("source_id", "target_id"))
-    return render(search(numbered, edges, max_levels)).drop("pair_id")
+        edges = graph.edges() if isinstance(graph, Ways) else stored(search_edges(graph), "edges")
+        n_edges = graph.n_edges if isinstance(graph, Ways) and graph.n_edges is not None else edges.count()
+        if strategy == "broadcast" or n_edges <= bfs_local.MAX_EDGES:
+            return bfs_local.shortest_paths(pairs.select("source_id", "target_id").distinct(), edges)
+    return render(search(_numbered(pairs), graph)).drop("pair_id")
 
 
-def count_paths(pairs: DataFrame, edges: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def count_paths(pairs: DataFrame, graph: DataFrame | Ways) -> DataFrame:
     """(source_id, target_id, degrees, n_paths) without listing paths, whose number may be exponential."""
-    numbered = pairs.select("source_id", "target_id").distinct().withColumn("pair_id", F.xxhash64("source_id", "target_id"))
-    found = search(numbered, edges, max_levels)
+    found = search(_numbered(pairs), graph)
     same = found.pairs.filter("source_id = target_id").select("source_id", "target_id", F.lit(0).alias("degrees"), F.lit(1).cast("decimal(38,0)").alias("n_paths"))
     if found.meets is None or found.meets.isEmpty():
         return same
     sides = {}
     for side in "fb":
-        ways = found.meets.select("pair_id", "v", F.col(side).alias("left"), F.col("v").alias("head"), F.lit(1).cast("decimal(38,0)").alias("n"))
-        parents = found.log.filter((F.col("side") == side) & F.col("parent").isNotNull()).select("pair_id", F.col("v").alias("head"), "parent", "level")
-        done = ways.filter("left = 0").select("pair_id", "v", "n")
-        for _ in range(found.deepest):
-            ways = ways.filter("left > 0").join(parents, ["pair_id", "head"]).filter(F.col("level") == F.col("left"))
-            ways = stored(ways.groupBy("pair_id", "v", (F.col("left") - 1).alias("left"), F.col("parent").alias("head")).agg(F.sum("n").cast("decimal(38,0)").alias("n")), "counts")
-            done = done.unionByName(ways.filter("left = 0").select("pair_id", "v", "n"))
-            if ways.filter("left > 0").isEmpty():
-                break
-        sides[side] = done.groupBy("pair_id", "v").agg(F.sum("n").alias(f"n_{side}"))
+        rounds = Rounds(found.log.sparkSession, "counts")
+        ways = rounds.add(found.meets.select("pair_id", "v", F.col(side).alias("left"), F.col("v").alias("head"), F.lit(1).cast("decimal(38,0)").alias("n")))
+        while not ways.filter("left > 0").isEmpty():
+            ways = ways.filter("left > 0").join(_parents(found, side), ["pair_id", "head"]).filter(F.col("level") == F.col("left"))
+            ways = rounds.add(ways.groupBy("pair_id", "v", (F.col("left") - 1).alias("left"), F.col("parent").alias("head")).agg(F.sum("n").cast("decimal(38,0)").alias("n")))
+        sides[side] = rounds.all().filter("left = 0").groupBy("pair_id", "v").agg(F.sum("n").alias(f"n_{side}"))
     total = sides["f"].join(sides["b"], ["pair_id", "v"]).join(found.meets, ["pair_id", "v"]).groupBy("pair_id").agg(
         F.max(F.col("f") + F.col("b")).alias("degrees"), F.sum((F.col("n_f") * F.col("n_b")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("n_paths"))
     return same.unionByName(found.pairs.join(total, "pair_id").select("source_id", "target_id", "degrees", "n_paths"))

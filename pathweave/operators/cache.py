@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathweave.functions import first_path_vertices
 from pathweave.operators import bfs
+from pathweave.plans.storage import stored
 
 
 def cache_rows(pairs: DataFrame, paths: DataFrame, seconds: float = 0.0) -> DataFrame:
@@ -26,7 +27,9 @@ def latest(cache: DataFrame) -> DataFrame:
 
 def hits(pairs: DataFrame, cache: DataFrame) -> DataFrame:
     """Pairs with their cached paths (array)."""
-    rows = latest(cache).select(F.col("source_page_id").alias("source_id"), F.col("target_page_id").alias("target_id"), F.from_json("path_data", "array<array<bigint>>").alias("paths"))
+    wanted = pairs.select(F.col("source_id").alias("source_page_id"), F.col("target_id").alias("target_page_id"))
+    own = cache.join(wanted, ["source_page_id", "target_page_id"], "left_semi")
+    rows = latest(own).select(F.col("source_page_id").alias("source_id"), F.col("target_page_id").alias("target_id"), F.from_json("path_data", "array<array<bigint>>").alias("paths"))
     return pairs.join(rows, ["source_id", "target_id"]).select("source_id", "target_id", "paths")
 
 
@@ -35,11 +38,13 @@ def misses(pairs: DataFrame, cache: DataFrame) -> DataFrame:
     return pairs.select("source_id", "target_id").distinct().join(known, ["source_id", "target_id"], "left_anti")
 
 
-def cached_paths(pairs: DataFrame, edges: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paths of all pairs, new cache rows): only pairs that are not cached are searched."""
-    new = misses(pairs, cache)
-    found = bfs.shortest_paths(new, edges)
+def cached_paths(pairs: DataFrame, graph: DataFrame | bfs.Ways, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths of all pairs, new cache rows): only pairs that are not cached are searched, once; without such pairs no graph is read."""
+    new = stored(misses(pairs, cache), "misses")
     known = hits(pairs, cache).select("source_id", "target_id", F.explode("paths").alias("path"))
+    if new.isEmpty():
+        return known, cache_rows(new, known.limit(0))
+    found = stored(bfs.shortest_paths(new, graph), "found")
     return known.unionByName(found), cache_rows(new, found)
 
 

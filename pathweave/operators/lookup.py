@@ -42,5 +42,5 @@ def random_page(vertexes: DataFrame, seed: int | None = None, attempts: int = 10
     return None
 
 
-def random_pages(vertexes: DataFrame, n: int = 2, seed: int = 0) -> DataFrame:
+def random_pages(vertexes: DataFrame, n: int = 2, seed: int | None = 0) -> DataFrame:
     return vertexes.filter(~F.col("is_redirect")).orderBy(F.rand(seed), "id").limit(n)

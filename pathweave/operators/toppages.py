@@ -36,10 +36,10 @@ def pairs(top: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("s") != F.col("t")).select("source_id", "target_id", "s", "t")
 
 
-def top_graph(top: DataFrame, vertexes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def top_graph(top: DataFrame, vertexes: DataFrame, graph: DataFrame | bfs.Ways) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertexes, edges with duplicates, distinct edges) of all shortest paths between top pages."""
     top = storage.stored(top, "top")
-    paths = storage.stored(bfs.shortest_paths(pairs(top), edges), "toppaths")
+    paths = storage.stored(bfs.shortest_paths(pairs(top), graph), "toppaths")
     raw = path_edges(paths)
     ids = paths.select(F.explode("path").alias("id")).distinct()
     found = ids.join(vertexes.select("id", "title"), "id").join(top.select("id", "rank"), "id", "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import date, datetime
 
 from pyspark.sql import SparkSession
@@ -24,6 +24,14 @@ class Manifest:
     vertex_count: int = 0
     edge_count: int = 0
     resolved_edge_count: int = 0
+    #: distinct edges without self-loops, which decide how searches run
+    distinct_edge_count: int = 0
+    stage_seconds: dict[str, float] = field(default_factory=dict)
+    stage_rows: dict[str, int] = field(default_factory=dict)
+
+    def rates(self) -> dict[str, int]:
+        """Rows a second of each stage."""
+        return {name: round(rows / max(self.stage_seconds[name], 0.001)) for name, rows in self.stage_rows.items()}
 
     def date(self) -> date | None:
         try:
