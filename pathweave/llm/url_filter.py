@@ -7,7 +7,8 @@ a rule list can be shipped as short prefixes.  All of it is built-in
 expressions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
-and no rule; repeated rows each get a row; a rule given twice counts once; of
+and no rule; repeated rows each get a row; very long urls are taken whole; a
+rule given twice counts once, and rules may have any number of shapes; of
 rules that fit, the longest (host and path together) wins, then the longer
 host, then ``block``.  Extra columns of the input are not read.
 """
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 PREFIX_DIGITS = 8
 #: Rule lists up to this many rows are broadcast; longer ones are shuffled.
 BROADCAST_RULES = 100_000
-#: The expansion lists each distinct path length and label count of the rules.
-MAX_SHAPES = 2_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,22 +46,34 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, "verdict string, host string, path string")
 
 
-def expressions(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
-    """All "host suffix + path prefix" strings of the given shapes."""
+def expressions(host: Column, path: Column, shapes: dict[int, list[int]]) -> Column:
+    """All "host suffix + path prefix" strings whose label count and path length are a shape of some rule."""
+    if not shapes:
+        return F.array().cast("array<string>")
     labels = F.split(host, r"\.")
-    suffixes = F.array_compact(F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in label_counts]))
-    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths]))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    known = F.array(*[F.struct(F.lit(n).alias("labels"), F.array(*map(F.lit, lengths)).alias("lengths")) for n, lengths in sorted(shapes.items())])
+
+    def of(shape: Column) -> Column:
+        suffix = F.array_join(F.slice(labels, -shape["labels"], shape["labels"]), ".")
+        return F.transform(F.filter(shape["lengths"], lambda n: n <= F.length(path)), lambda n: F.concat(suffix, F.substring(path, F.lit(1), n)))
+
+    return F.flatten(F.transform(F.filter(known, lambda shape: shape["labels"] <= F.size(labels)), of))
+
+
+def rule_shapes(rules: DataFrame) -> dict[int, list[int]]:
+    """Path lengths of the rules (rule_host, rule_path) by the label count of their host.
+
+    The driver gets distinct pairs of small numbers: at most the labels of the
+    longest host times the length of the longest path, however many rules.
+    """
+    rows = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("length")).groupBy("labels").agg(F.sort_array(F.collect_set("length")).alias("lengths"))
+    return {r.labels: r.lengths for r in rows.collect()}
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default: str = "allow") -> DataFrame:
     """Judge the ``url`` of every row: (key, host, path, rule, verdict)."""
     rules = rules.select("verdict", F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).dropna().distinct()
-    shapes = rules.select(
-        F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("length"),
-    ).distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} shapes of rules; split the rule list")
+    shapes = rule_shapes(rules)
     digests = rules.select(
         "verdict",
         F.concat("rule_host", "rule_path").alias("rule"),
@@ -76,7 +87,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", defaul
     # one expansion for each distinct url, so that a hot url costs one row a task
     expanded = (
         parsed.filter(F.col("host") != "").select("url", "host", "path").distinct()
-        .select("url", F.explode(expressions(F.col("host"), F.col("path"), sorted({r.labels for r in shapes}), sorted({r.length for r in shapes}))).alias("expression"))
+        .select("url", F.explode(expressions(F.col("host"), F.col("path"), shapes)).alias("expression"))
         .select("url", F.sha2("expression", 256).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
