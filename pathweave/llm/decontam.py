@@ -13,7 +13,8 @@ other terms, rarest first.
 
 Defined cases: a null or empty text has no words; benchmark rows without words
 or with a null id give no window; repeated ids count once; repeated rows and
-null doc_ids give a row each.  Extra columns are not read.  Words are compared
+null doc_ids give a row each; a very long text is a chunk of its own and taken
+whole.  Extra columns are not read.  Words are compared
 by 64-bit hashes, so a window of ten words agrees in 640 bits.
 """
 

@@ -14,7 +14,7 @@ that boilerplate covers whole (a copy) keeps all.  Text inside a main region is
 protected: articles that stand on several pages are main text on each.
 
 Defined cases: null html is empty; a truncated page ends where it ends; a null
-url has an empty host; repeated rows are pages of equal text, of which each
+url has an empty host; a very long page is parsed whole; repeated rows are pages of equal text, of which each
 shows the other's text as repeated, so that they keep it whole.  Extra columns
 are not read.
 """

@@ -23,7 +23,8 @@ rest at least, its due part of the tokens that it must share in all.
 
 Defined cases: a null or empty text has no shingle and no link; a text of fewer
 than five words has one; rows of one doc_id are one vertex; a null doc_id has a
-null component and no link.  Extra columns are not read.  Shingles are compared
+null component and no link; a very long text is a chunk of its own and taken
+whole.  Extra columns are not read.  Shingles are compared
 by 64-bit hashes.
 """
 

@@ -10,8 +10,8 @@ depends on ``capacity`` alone, and executors place each piece by its rank among
 the pieces of its length.
 
 Defined cases: a null text is empty and has the end token only; repeated rows
-are separate documents; an empty table gives no row.  Extra columns are not
-read.
+are separate documents; a very long text is a chunk of its own, encoded whole
+and then cut; an empty table gives no row.  Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ a tree together.  Only the text enters a score.
 
 Defined cases: a null text is empty and has a score too; null labels and null
 doc_ids are not learnt from, of several labels of a document the greatest
-holds; without labels every score is 1; repeated rows are scored each.  Extra
-columns are not read.
+holds; without labels every score is 1; repeated rows are scored each; a very
+long text is a chunk of its own and taken whole.  Extra columns are not read.
 """
 
 from __future__ import annotations
