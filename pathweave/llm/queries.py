@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontam, fingerprint, html_main, line_dedup, ngram_join, packing, quality, scratch, suffix_dedup, url_filter, warc
+from pathweave.llm import decontam, fingerprint, html_main, line_dedup, ngram_join, packing, quality, scratch, suffix_dedup, url_filter, vector_codes, warc
 
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -74,8 +74,15 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    own, other = made.rows.alias("own"), made.rows.groupBy("label").agg(F.sum("error").alias("label_error")).alias("other")
+    return own.join(other, F.col("own.label").eqNullSafe(F.col("other.label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op2_decontam": op2_decontam, "op3_line_dedup": op3_line_dedup, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
+    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op13_vector_codes": op13_vector_codes, "op2_decontam": op2_decontam, "op3_line_dedup": op3_line_dedup, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
 
 
 ORACLE = {
