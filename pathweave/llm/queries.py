@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontam, fingerprint, html_main, line_dedup, ngram_join, packing, quality, scratch, suffix_dedup, url_filter, vector_codes, warc
+from pathweave.llm import alignment, decontam, fingerprint, html_main, line_dedup, ngram_join, packing, pii, quality, scratch, suffix_dedup, url_filter, vector_codes, warc
 
 URL_RULES = [
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
@@ -74,6 +74,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the base spans; ``spans`` are all."""
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+    return pii.find_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(kind) for kind in pii.KINDS], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
     own, other = made.rows.alias("own"), made.rows.groupBy("label").agg(F.sum("error").alias("label_error")).alias("other")
@@ -82,7 +94,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op13_vector_codes": op13_vector_codes, "op2_decontam": op2_decontam, "op3_line_dedup": op3_line_dedup, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
+    return {"op1_quality": op1_quality, "op10_fingerprint": op10_fingerprint, "op11_alignment": op11_alignment, "op12_pii": op12_pii, "op13_vector_codes": op13_vector_codes, "op2_decontam": op2_decontam, "op3_line_dedup": op3_line_dedup, "op4_html_main": op4_html_main, "op5_suffix_dedup": op5_suffix_dedup, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op9_ngram_join": op9_ngram_join}
 
 
 ORACLE = {
