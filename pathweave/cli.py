@@ -29,7 +29,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--dumps", required=True, help="folder of PREFIX-DATE-TABLE.sql.gz files")
         c.add_argument("--prefix", default="wiki")
         c.add_argument("--clean", action="store_true", help="remove builds of other dates")
-        c.add_argument("--check", action="store_true", help="first report dump statements that are not understood")
+        c.add_argument("--no-check", action="store_true", help="do not look for malformed tuples first; they are left out silently then")
+        c.add_argument("--strict", action="store_true", help="build nothing if a tuple is malformed")
         if name == "pull":
             c.add_argument("--top-pages", required=True)
             c.add_argument("--base-url", required=True)
@@ -59,9 +60,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     spark = spark or SparkSession.builder.appName("pathweave").getOrCreate()
     engine = GraphEngine(spark, args.data, getattr(args, "dump_date", None))
-    if getattr(args, "check", False):
-        for r in engine.malformed(args.dumps, args.prefix).orderBy("file").collect():
-            print(f"{r.file}: {r.statements} statements not fully understood", file=sys.stderr)
+    if args.command in ("build", "pull") and not args.no_check:
+        wrong = engine.malformed(args.dumps, args.prefix).groupBy("file", "error").count().orderBy("file", "error").collect()
+        for r in wrong:
+            print(f"{r.file}: {r['count']} tuples not loaded: {r.error}", file=sys.stderr)
+        if wrong and args.strict:
+            return 1
     if args.command == "build":
         built = engine.build(engine.dump_tables(args.dumps, args.prefix), clean=args.clean)
         print(json.dumps(vars(built) | {"rates": built.rates()}))

@@ -7,16 +7,19 @@ graph and the path cache, so that a new build starts with an empty cache.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave import schema
-from pathweave.operators import adjacency, bfs, cache, lookup, paths, resolve, toppages
+from pathweave.operators import adjacency, bfs, blocks, cache, lookup, paths, resolve, toppages
+from pathweave.operators.blocks import Blocks
 from pathweave.plans import manifest, storage
-from pathweave.sources import sqldump
+from pathweave.sources import sqldump, sqltuples
 
 DUMP_FILES = ("page", "pagelinks", "redirect", "linktarget")
+EDGES_A_BUCKET = 2_000_000
 
 
 class GraphEngine:
@@ -29,7 +32,10 @@ class GraphEngine:
 
     def dump_tables(self, folder: str, prefix: str) -> dict[str, DataFrame]:
         """Typed tables of the files <folder>/<prefix>-<date>-<table>.sql.gz."""
-        return {name: sqldump.parse(sqldump.read_lines(self.spark, f"{folder}/{prefix}-{self.dump_date}-{name}.sql.gz"), name) for name in DUMP_FILES}
+        return {name: sqldump.parse(self._lines(folder, prefix, name), name) for name in DUMP_FILES}
+
+    def _lines(self, folder: str, prefix: str, name: str) -> DataFrame:
+        return sqldump.read_lines(self.spark, f"{folder}/{prefix}-{self.dump_date}-{name}.sql.gz")
 
     def build(self, tables: dict[str, DataFrame], publish: bool = True, clean: bool = False) -> manifest.Manifest:
         """Resolve and store the graph, one stage after the other; finished stages are not done again."""
@@ -43,6 +49,10 @@ class GraphEngine:
             self._stage(status, "redirects", resolve.redirects(tables["redirect"], self.vertexes))
             status.redirects_resolved = True
             manifest.save(self.spark, self.folder, status)
+        if "titles" not in status.stage_rows:
+            index = lookup.titles(self.vertexes, self.read("redirects", schema.REDIRECTS))
+            self._timed(status, "titles", lambda: (lookup.write_titles(index, f"{self.folder}/titles"), self.titles.count())[1])
+            manifest.save(self.spark, self.folder, status)
         if not status.edges_resolved:
             status.edge_count = self._stage(status, "links", resolve.links(tables["pagelinks"], resolve.link_targets(tables["linktarget"])))
             links = self.read("links", schema.LINKS)
@@ -50,12 +60,11 @@ class GraphEngine:
             status.edges_resolved = True
             manifest.save(self.spark, self.folder, status)
         if not status.edges_sorted:
-            # by id, so that what belongs to one vertex lies in one file and scans skip the others
-            self._stage(status, "adjacency", adjacency.adjacency(self.edges, self.vertexes).repartitionByRange("id").sortWithinPartitions("id"))
-            self._stage(status, "degrees", adjacency.degrees(self.edges).repartitionByRange("id").sortWithinPartitions("id"))
-            # edges by source (side f) and by target (side b)
-            steps = self._stage(status, "steps", bfs.steps(self.edges).repartitionByRange("side", "v").sortWithinPartitions("side", "v", "w"))
-            status.distinct_edge_count = steps // 2
+            # as many buckets as a reader deals to, or more where these would be large
+            status.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), status.resolved_edge_count // EDGES_A_BUCKET)
+            with storage.scope(self.spark):
+                self._timed(status, "blocks", lambda: blocks.build(self.edges, f"{self.folder}/blocks", status.buckets).rows.count())
+            status.distinct_edge_count = self.graph.rows.filter("side = 'f'").agg(F.sum(F.size("w"))).first()[0] or 0
             status.edges_sorted = status.build_complete = True
             manifest.save(self.spark, self.folder, status)
         if publish:
@@ -64,9 +73,16 @@ class GraphEngine:
 
     def _stage(self, status: manifest.Manifest, name: str, df: DataFrame) -> int:
         """Store a table and note its rows and seconds."""
+        def stored() -> int:
+            self._write(df, name)
+            return self.read(name).count()
+
+        return self._timed(status, name, stored)
+
+    @staticmethod
+    def _timed(status: manifest.Manifest, name: str, make: Callable[[], int]) -> int:
         began = time.time()
-        self._write(df, name)
-        status.stage_rows[name] = self.read(name).count()
+        status.stage_rows[name] = make()
         status.stage_seconds[name] = round(time.time() - began, 3)
         return status.stage_rows[name]
 
@@ -83,27 +99,34 @@ class GraphEngine:
     def vertexes(self) -> DataFrame:
         return self.read("vertexes")
 
+    @property
+    def titles(self) -> DataFrame:
+        """Pages in the order of their titles."""
+        return self.read("titles")
+
     @property
     def edges(self) -> DataFrame:
         return self.read("edges")
 
     @property
-    def graph(self) -> bfs.Ways:
-        """What searches read: the stored steps and degrees."""
+    def graph(self) -> Blocks:
+        """What searches and point reads see: the stored blocks."""
         status = manifest.load(self.spark, self.folder)
-        if "steps" in status.stage_rows:
-            return bfs.Ways(self.read("steps"), self.read("degrees"), status.distinct_edge_count)
-        return bfs.ways_of(self.edges)  # a build of an older version
+        if "blocks" not in status.stage_rows:
+            raise RuntimeError(f"{self.folder} holds no blocks: build it again")
+        return blocks.read(self.spark, f"{self.folder}/blocks", status.buckets)
+
+    @property
+    def cache(self) -> cache.PathCache:
+        return cache.PathCache(self.spark, f"{self.folder}/path")
 
     def malformed(self, folder: str, prefix: str) -> DataFrame:
-        """(file, statements): dump statements that hold more than well-formed tuples; those are not loaded."""
-        found = [
-            sqldump.malformed(sqldump.read_lines(self.spark, f"{folder}/{prefix}-{self.dump_date}-{name}.sql.gz"), name).select(F.lit(name).alias("file"))
-            for name in DUMP_FILES]
+        """(file, line, n, text, error): tuples of the dumps that are not loaded, with the reason."""
+        found = [sqltuples.malformed(self._lines(folder, prefix, name), name).select(F.lit(name).alias("file"), "line", "n", "text", "error") for name in DUMP_FILES]
         rows = found[0]
         for more in found[1:]:
             rows = rows.unionByName(more)
-        return rows.groupBy("file").agg(F.count("*").alias("statements"))
+        return rows
 
     def failures(self) -> tuple[DataFrame, DataFrame]:
         """(links to titles no page has, redirect pages without a target)."""
@@ -128,11 +151,11 @@ class GraphEngine:
                 if missing:
                     raise KeyError(f"no such pages: {[r.id for r in missing]}")
             began = time.time()
-            found, new = cache.cached_paths(pairs, self.graph, self.read("path", schema.PATH_CACHE))
+            found, new = cache.cached_paths(pairs, self.graph, self.cache.rows(pairs))
             found = storage.stored(found, "paths", keep=True)
             if record:
                 seconds = time.time() - began
-                new.withColumn("duration", F.lit(seconds)).write.mode("append").parquet(f"{self.folder}/path")
+                self.cache.add(new.withColumn("duration", F.lit(seconds)))
                 log = pairs.select(F.col("source_id").alias("source_page_id"), F.col("target_id").alias("target_page_id"), F.current_timestamp().alias("timestamp"), F.lit(int(seconds * 1000)).alias("duration").cast("bigint"))
                 log.write.mode("append").parquet(f"{self.base}/master/search")
             return found
@@ -147,7 +170,7 @@ class GraphEngine:
 
     def paths_by_title(self, source: str, target: str) -> list[str]:
         """Titles of each shortest path; KeyError for an unknown title."""
-        ends = [lookup.by_title(self.vertexes, t).first() for t in (source, target)]
+        ends = [lookup.by_title(self.titles, t).first() for t in (source, target)]
         for title, end in zip((source, target), ends, strict=True):
             if end is None:
                 raise KeyError(title)
@@ -157,10 +180,14 @@ class GraphEngine:
             return sorted(r.titles for r in paths.path_titles(found, self.vertexes).collect())
 
     def neighbors(self, title: str) -> DataFrame:
-        page = lookup.by_title(self.vertexes, title).first()
+        page = lookup.by_title(self.titles, title).first()
         if page is None:
             raise KeyError(title)
-        return adjacency.read_edges(page.id, self.read("adjacency"), self.vertexes)
+        return adjacency.read_edges(page.id, self.graph, self.vertexes)
+
+    def search(self, prefix: str, limit: int = 5) -> DataFrame:
+        """(position, id, title) of pages whose title, or that of a redirect to them, begins with ``prefix``."""
+        return lookup.search_prefix(self.titles, prefix, limit)
 
     def random_page(self, seed: int | None = None) -> dict | None:
         return lookup.random_page(self.vertexes, seed)
@@ -171,7 +198,7 @@ class GraphEngine:
         return {"source": ends[0], "target": ends[1], **self.query(*ends)} if len(ends) == 2 else None
 
     def long_paths_report(self, least: int = 5, limit: int = 20) -> DataFrame:
-        return cache.long_paths(self.read("path", schema.PATH_CACHE), self.vertexes, least, limit)
+        return cache.long_paths(self.cache.rows(), self.vertexes, least, limit)
 
     def search_log(self) -> DataFrame:
         path = f"{self.base}/master/search"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.operators.blocks import Blocks
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, out_deg, in_deg), multi-edges counted; one shuffle, with partial counts."""
@@ -13,15 +15,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.id").agg(F.sum("e.o").alias("out_deg"), F.sum("e.i").alias("in_deg"))
 
 
-def adjacency(edges: DataFrame, vertexes: DataFrame | None = None) -> DataFrame:
-    """(id, outgoing, incoming): ascending lists with duplicates; vertices without edges have empty ones."""
-    ends = edges.select(F.explode(F.array(
-        F.struct(F.col("src").alias("id"), F.col("dst").alias("o"), F.lit(None).cast("bigint").alias("i")),
-        F.struct(F.col("dst").alias("id"), F.lit(None).cast("bigint").alias("o"), F.col("src").alias("i")))).alias("e")).select("e.id", "e.o", "e.i")
+def lists(graph: Blocks, vertexes: DataFrame | None = None) -> DataFrame:
+    """(id, outgoing, incoming): whole lists, ascending and with duplicates, put together from blocks.
+
+    A list has no bound, so this is for graphs whose lists fit a row; others are
+    read by block.  Vertices without edges have empty lists.
+    """
+    again = F.flatten(F.zip_with("w", "times", lambda w, n: F.array_repeat(w, n.cast("int"))))
+    parts = graph.rows.select(F.col("v").alias("id"), "side", F.struct("part", F.when(F.col("times").isNull(), F.col("w")).otherwise(again).alias("w")).alias("x"))
     if vertexes is not None:
-        nothing = F.lit(None).cast("bigint")
-        ends = ends.unionByName(vertexes.select("id", nothing.alias("o"), nothing.alias("i")))
-    return ends.groupBy("id").agg(F.sort_array(F.collect_list("o")).alias("outgoing"), F.sort_array(F.collect_list("i")).alias("incoming"))
+        parts = parts.unionByName(vertexes.select("id", F.lit(None).cast("string").alias("side"), F.lit(None).cast(parts.schema["x"].dataType).alias("x")))
+    side = lambda s: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("x")))), lambda x: x["w"]))
+    return parts.groupBy("id").agg(side("f").alias("outgoing"), side("b").alias("incoming"))
 
 
 def neighbors(vertex_id: int, edges: DataFrame, vertexes: DataFrame) -> DataFrame:
@@ -31,11 +36,10 @@ def neighbors(vertex_id: int, edges: DataFrame, vertexes: DataFrame) -> DataFram
     return out.unionByName(back).distinct().join(vertexes.select("id", "title"), "id", "left").select("direction", "id", "title")
 
 
-def read_edges(vertex_id: int, lists: DataFrame, vertexes: DataFrame) -> DataFrame:
-    """As neighbors(), from stored neighbour lists (id, outgoing, incoming): a point read."""
-    own = lists.filter(F.col("id") == vertex_id)
-    way = lambda name, column: own.select(F.lit(name).alias("direction"), F.explode(column).alias("id"))
-    return way("out", "outgoing").unionByName(way("in", "incoming")).distinct().join(vertexes.select("id", "title"), "id", "left").select("direction", "id", "title")
+def read_edges(vertex_id: int, graph: Blocks, vertexes: DataFrame) -> DataFrame:
+    """As neighbors(), from stored blocks: a point read, part by part."""
+    own = graph.neighbours(vertex_id).select(F.when(F.col("side") == "f", "out").otherwise("in").alias("direction"), F.explode("w").alias("id"))
+    return own.join(vertexes.select("id", "title"), "id", "left").select("direction", "id", "title")
 
 
 def validate(edges: DataFrame, vertexes: DataFrame) -> DataFrame:

@@ -8,48 +8,37 @@ frontiers are the vertices at distance i from the source and j to the target,
 so they first meet when i + j is the distance, and each shortest path crosses
 the meeting set once.
 
-Graphs whose edges are counted and few are broadcast instead (bfs_local).
+The graph is a table of blocks, bucketed by slot: a level moves its frontier to
+the blocks and never the blocks, and a frontier of few slots reads only their
+buckets.  What a side has seen lies in buckets too, as runs that are merged by
+tiers, and only the buckets that new vertices fall into are read.  So what a
+level reads follows from its own size, not from the levels before it.
 
 Levels are stored tables: lineage never grows and a lost executor costs one
-level at most.  Sizes of stored frontiers are known, so Spark broadcasts small
-ones by itself and shuffles large ones.  There is no limit on levels: a search
-ends when the frontiers meet or one of them is empty.  Pairs are told apart by
-their two ids.
-
-A graph that is searched again and again is given as Ways, stored once: steps
-lie sorted by vertex, and a frontier of few vertices is looked up by their ids,
-which lets the scan skip the row groups of others.
+level at most.  There is no limit on levels: a search ends when the frontiers
+meet or one of them is empty.  Pairs are told apart by their two ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pathweave.operators import bfs_local
-from pathweave.operators.adjacency import degrees
+from pathweave.operators import blocks
+from pathweave.operators.blocks import Blocks, slot
+from pathweave.plans.runs import Runs
 from pathweave.plans.storage import Rounds, stored
 
-#: Frontiers of at most this many vertices are looked up by id in the stored steps.
-FEW_VERTICES = 1_000
-
-
-def search_edges(edges: DataFrame) -> DataFrame:
-    """Distinct edges without self-loops, which no shortest path uses."""
-    return edges.filter("src <> dst").select("src", "dst").distinct()
-
-
-def steps(edges: DataFrame) -> DataFrame:
-    """(side, v, w): from v one may go to w, forward (f) along an edge, backward (b) against it."""
-    ways = F.array(F.struct(F.lit("f").alias("side"), F.col("src").alias("v"), F.col("dst").alias("w")), F.struct(F.lit("b").alias("side"), F.col("dst").alias("v"), F.col("src").alias("w")))
-    return search_edges(edges).select(F.explode(ways).alias("x")).select("x.side", "x.v", "x.w")
-
 
 def frontier_cost(frontier: DataFrame, degree: DataFrame) -> DataFrame:
     """(pair_id, f_cost, b_cost): out-degrees of the forward and in-degrees of the backward frontier (pair_id, side, v)."""
     cost = F.when(F.col("side") == "f", F.col("out_deg")).otherwise(F.col("in_deg"))
-    return frontier.join(degree.withColumnRenamed("id", "v"), "v", "left").groupBy("pair_id").agg(
-        F.sum(F.when(F.col("side") == "f", F.coalesce(cost, F.lit(0))).otherwise(0)).alias("f_cost"), F.sum(F.when(F.col("side") == "b", F.coalesce(cost, F.lit(0))).otherwise(0)).alias("b_cost"))
+    return _costs(frontier.join(degree.withColumnRenamed("id", "v"), "v", "left").withColumn("links", F.coalesce(cost, F.lit(0))))
+
+
+def _costs(frontier: DataFrame) -> DataFrame:
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.col("links")).otherwise(0))
+    return frontier.groupBy("pair_id").agg(side("f").alias("f_cost"), side("b").alias("b_cost"))
 
 
 class Search:
@@ -59,64 +48,83 @@ class Search:
         self.pairs, self.log, self.meets, self.deepest = pairs, log, meets, deepest
 
 
-class Ways:
-    """What searches read of a graph: its steps, its degrees, and the number of its distinct edges if that is known."""
+class Frontiers:
+    """The stored frontiers of each round: (pair_id, side, v, f, b, parts, links, met), and how large the last one is."""
 
-    def __init__(self, steps: DataFrame, degree: DataFrame, n_edges: int | None = None):
-        self.steps, self.degree, self.n_edges = steps, degree, n_edges
+    def __init__(self, graph: Blocks, spark):
+        self.graph, self.rounds = graph, Rounds(spark, "frontiers")
+        self.vertexes = self.blocks = 0
 
-    def edges(self) -> DataFrame:
-        return self.steps.filter("side = 'f'").select(F.col("v").alias("src"), F.col("w").alias("dst"))
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Store a round; its open vertices."""
+        seen = Observation()
+        open_ = ~F.col("met")
+        counted = rows.observe(seen, F.coalesce(F.sum(F.when(open_, 1)), F.lit(0)).alias("vertexes"), F.coalesce(F.sum(F.when(open_, F.col("parts"))), F.lit(0)).alias("blocks"))
+        now = self.rounds.add(counted).filter("not met").drop("met")
+        self.vertexes, self.blocks = seen.get["vertexes"], seen.get["blocks"]
+        return now
 
+    def met(self) -> DataFrame:
+        return self.rounds.all().filter("met").select("pair_id", "v", "f", "b")
 
-def ways_of(edges: DataFrame) -> Ways:
-    return Ways(stored(steps(edges), "steps"), stored(degrees(edges), "degrees"))
+    def steps(self, frontier: DataFrame) -> DataFrame:
+        """(..., w): every neighbour of a frontier."""
+        named = frontier.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("slot", slot(F.col("v"), F.col("side"), F.col("part")))
+        slots = blocks.few(named, self.blocks)
+        return self.graph.joined(named, slots, "w").withColumn("w", F.explode("w"))
 
+    def sized(self, rows: DataFrame, n_rows: int) -> DataFrame:
+        """``rows`` (side, v) with the blocks and links of each; vertices without links go, as no path goes on there."""
+        named = rows.withColumn("slot", slot(F.col("v"), F.col("side"), F.lit(0)))
+        slots = blocks.few(named, n_rows)
+        return self.graph.joined(named, slots, "parts", "links", how="left").drop("slot")
 
-def _few(frontier: DataFrame) -> list[int] | None:
-    """Vertices of a small frontier."""
-    ids = [r.v for r in frontier.select("v").distinct().limit(FEW_VERTICES + 1).collect()]
-    return ids if len(ids) <= FEW_VERTICES else None
 
+def ways_of(edges: DataFrame) -> Blocks:
+    return blocks.build(edges)
 
-def search(pairs: DataFrame, graph: DataFrame | Ways) -> Search:
-    """Search all (pair_id, source_id, target_id) in a graph, given as edges or stored Ways; pairs of equal ends need no graph."""
+
+def search(pairs: DataFrame, graph: DataFrame | Blocks) -> Search:
+    """Search all (pair_id, source_id, target_id) in a graph, given as edges or blocks; pairs of equal ends need no graph."""
     spark = pairs.sparkSession
     pairs = stored(pairs.select("pair_id", "source_id", "target_id"), "pairs")
     open_ = pairs.filter("source_id <> target_id")
-    if open_.isEmpty():
+    n_open = open_.count()
+    if not n_open:
         return Search(pairs, None, None, 0)
-    ways = graph if isinstance(graph, Ways) else ways_of(graph)
+    graph = graph if isinstance(graph, Blocks) else ways_of(graph)
+    seen, fronts = Runs(spark, "seen", ["pair_id", "side", "v"], graph.buckets), Frontiers(graph, spark)
     ends = F.array(F.struct(F.lit("f").alias("side"), F.col("source_id").alias("v")), F.struct(F.lit("b").alias("side"), F.col("target_id").alias("v")))
-    first = open_.select("pair_id", F.explode(ends).alias("e")).select("pair_id", "e.side", "e.v", F.lit(0).alias("f"), F.lit(0).alias("b"))
-    frontier = stored(first, "frontier")
-    level = frontier.select("pair_id", "side", "v", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("level"))
-    log, meets = Rounds(spark, "levels"), Rounds(spark, "meets")
-    log.add(level)
+    first = open_.select("pair_id", F.explode(ends).alias("e")).select("pair_id", "e.side", "e.v")
+    zero = F.lit(0)
+    own = fronts.sized(first, 2 * n_open).withColumn("f", zero).withColumn("b", zero).withColumn("met", F.lit(False))
+    # a pair one of whose ends has no links is not searched
+    dead = own.filter("parts is null").select("pair_id")
+    columns = ["pair_id", "side", "v", "f", "b", "parts", "links", "met"]
+    frontier = fronts.add(own.join(dead, "pair_id", "left_anti").select(*columns))
+    log = ["pair_id", "side", "v", "parent", "level"]
+    seen.add(seen.dealt(frontier.select("pair_id", "side", "v", F.lit(None).cast("bigint").alias("parent"), zero.alias("level"))))
     deepest = 0
-    while True:
-        few = _few(frontier)
-        degree = ways.degree if few is None else ways.degree.filter(F.col("id").isin(few))
-        near = ways.steps if few is None else ways.steps.filter(F.col("v").isin(few))
-        at = F.when(F.col("side") == "f", F.col("f")).otherwise(F.col("b"))
-        chosen = frontier_cost(frontier, degree).select("pair_id", F.when(F.col("f_cost") < F.col("b_cost"), "f").otherwise("b").alias("side"))
-        grown = stored(
-            frontier.join(chosen, ["pair_id", "side"]).join(near, ["side", "v"])
-            .select("pair_id", "side", F.col("w").alias("v"), F.col("v").alias("parent"), (at + 1).alias("level"), "f", "b").distinct()
-            .join(log.all().select("pair_id", "side", "v"), ["pair_id", "side", "v"], "left_anti"), "grown")
-        log.add(grown.select(*level.columns))
+    while fronts.vertexes:
         deepest += 1
-        moved = {s: F.when(F.col("side") == s, F.col(s) + 1).otherwise(F.col(s)).alias(s) for s in "fb"}
-        new = grown.select("pair_id", "side", "v", *moved.values()).distinct()
+        chosen = _costs(frontier).select("pair_id", F.when(F.col("f_cost") < F.col("b_cost"), "f").otherwise("b").alias("side"))
+        count, at = Observation(), F.when(F.col("side") == "f", F.col("f")).otherwise(F.col("b"))
+        near = fronts.steps(frontier.join(chosen, ["pair_id", "side"])).select("pair_id", "side", F.col("w").alias("v"), F.col("v").alias("parent"), (at + 1).alias("level"), "f", "b")
+        fresh = seen.new(near.observe(count, F.count(F.lit(1)).alias("n")), "near")
+        grown = seen.read(seen.add(fresh.select("bucket", *log, "f", "b")))
+        moved = [F.when(F.col("side") == s, F.col(s) + 1).otherwise(F.col(s)).alias(s) for s in "fb"]
+        reached = fronts.sized(grown.select("pair_id", "side", "v", *moved).distinct(), count.get["n"])
         facing = frontier.select("pair_id", F.col("side").alias("other"), "v")
-        met = meets.add(new.join(facing, ["pair_id", "v"]).filter(F.col("side") != F.col("other")).select("pair_id", "v", "f", "b"))
+        new = reached.join(facing, ["pair_id", "v"], "left").filter("other is null or side <> other").withColumn("met", F.col("other").isNotNull())
+        new = stored(new.select(*columns), "new")
         # a pair whose side found nothing new is closed without a path, one whose frontiers met with its paths
-        going = new.join(met.select("pair_id").distinct(), "pair_id", "left_anti")
-        sides = going.select("pair_id", F.col("side").alias("moved"), "f", "b").distinct()
-        kept = frontier.drop("f", "b").join(sides, "pair_id").filter(F.col("side") != F.col("moved")).select("pair_id", "side", "v", "f", "b")
-        frontier = stored(going.unionByName(kept), "frontier")
-        if frontier.isEmpty():
-            return Search(pairs, log.all(), meets.all(), deepest)
+        sides = new.groupBy("pair_id").agg(F.first("side").alias("moved"), F.max("f").alias("to_f"), F.max("b").alias("to_b"), F.max("met").alias("any_met"))
+        closed = sides.filter("any_met").select("pair_id", F.lit(True).alias("closed"))
+        going = new.filter("met or parts is not null").join(closed, "pair_id", "left").filter("met or closed is null")
+        kept = frontier.drop("f", "b").join(sides.filter("not any_met"), "pair_id").filter(F.col("side") != F.col("moved")).select(
+            "pair_id", "side", "v", F.col("to_f").alias("f"), F.col("to_b").alias("b"), "parts", "links", F.lit(False).alias("met"))
+        frontier = fronts.add(going.select(*columns).unionByName(kept.select(*columns)))
+    return Search(pairs, seen.all(), fronts.met(), deepest)
 
 
 def _parents(found: Search, side: str) -> DataFrame:
@@ -148,21 +156,12 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return pairs.select("source_id", "target_id").distinct().withColumn("pair_id", F.struct("source_id", "target_id"))
 
 
-def shortest_paths(pairs: DataFrame, graph: DataFrame | Ways, strategy: str = "auto") -> DataFrame:
-    """(source_id, target_id, path) for pairs (source_id, target_id); a pair without a path has no row.
-
-    ``strategy`` is "levels" (joins, any size), "broadcast" (the graph beside
-    each task, bounded size) or "auto", which decides by the number of edges.
-    """
-    if strategy != "levels":
-        edges = graph.edges() if isinstance(graph, Ways) else stored(search_edges(graph), "edges")
-        n_edges = graph.n_edges if isinstance(graph, Ways) and graph.n_edges is not None else edges.count()
-        if strategy == "broadcast" or n_edges <= bfs_local.MAX_EDGES:
-            return bfs_local.shortest_paths(pairs.select("source_id", "target_id").distinct(), edges)
+def shortest_paths(pairs: DataFrame, graph: DataFrame | Blocks) -> DataFrame:
+    """(source_id, target_id, path) for pairs (source_id, target_id); a pair without a path has no row."""
     return render(search(_numbered(pairs), graph)).drop("pair_id")
 
 
-def count_paths(pairs: DataFrame, graph: DataFrame | Ways) -> DataFrame:
+def count_paths(pairs: DataFrame, graph: DataFrame | Blocks) -> DataFrame:
     """(source_id, target_id, degrees, n_paths) without listing paths, whose number may be exponential."""
     found = search(_numbered(pairs), graph)
     same = found.pairs.filter("source_id = target_id").select("source_id", "target_id", F.lit(0).alias("degrees"), F.lit(1).cast("decimal(38,0)").alias("n_paths"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions import canonical_title
 
+#: Bytes of a row group of the title index.
+TITLE_GROUP = 4 << 20
+
 
 def by_title(vertexes: DataFrame, title: str) -> DataFrame:
     """Exact and case-sensitive, after underscores have become spaces."""
@@ -17,6 +20,31 @@ def by_id(vertexes: DataFrame, id_: int) -> DataFrame:
     return vertexes.filter(F.col("id") == id_)
 
 
+def titles(vertexes: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(title, id, is_redirect, to_id, to_title): pages by title, redirects with the page that they lead to."""
+    known = redirects.join(vertexes.select(F.col("id").alias("to_id"), F.col("title").alias("to_title")), "to_id")
+    return vertexes.join(known.withColumnRenamed("from_id", "id"), "id", "left").select(
+        "title", "id", "is_redirect", *[F.when(F.col("is_redirect"), F.col(c)).alias(c) for c in ("to_id", "to_title")])
+
+
+def write_titles(titles: DataFrame, path: str, group_bytes: int = TITLE_GROUP) -> None:
+    """Store pages in the order of their titles, in small row groups with Bloom filters: a lookup or prefix search reads few of them."""
+    titles.repartitionByRange("title").sortWithinPartitions("title", "id").write.mode("overwrite").option("parquet.block.size", group_bytes).option(
+        "parquet.bloom.filter.enabled#title", "true").parquet(path)
+
+
+def search_prefix(titles: DataFrame, prefix: str, limit: int = 5) -> DataFrame:
+    """(position, id, title) of the first titles with a prefix, redirects followed once; a page that is hit again stands at its first position.
+
+    ``titles`` is the index. Redirects without a target stand for themselves.
+    """
+    hits = by_prefix(titles, prefix, limit)
+    # of at most ``limit`` rows
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("title", "id"))
+    pages = hits.select(place.alias("position"), F.coalesce("to_id", "id").alias("id"), F.coalesce("to_title", "title").alias("title"))
+    return pages.groupBy("id", "title").agg(F.min("position").alias("position")).select("position", "id", "title").orderBy("position")
+
+
 def by_prefix(vertexes: DataFrame, prefix: str, limit: int = 5) -> DataFrame:
     return vertexes.filter(F.col("title").startswith(canonical_title(F.lit(prefix)))).orderBy("title", "id").limit(limit)
 

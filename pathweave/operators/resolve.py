@@ -19,11 +19,15 @@ def link_targets(linktarget: DataFrame) -> DataFrame:
 def redirects(redirect: DataFrame, vertexes: DataFrame) -> DataFrame:
     """(from_id, to_id): the page of the target's title, whether or not that is a redirect itself.
 
-    One row for each from_id.  Dumps hold one; of several, which have no order
-    once they are dealt out, the greatest to_id stays.
+    One row for each from_id: of several the one written last, by their
+    ``ordinal`` in the dump.  Rows without one have no order, and of these the
+    greatest to_id stays.
     """
-    wanted = redirect.filter("rd_namespace = 0").select(F.col("rd_from").alias("from_id"), canonical_title(F.col("rd_title")).alias("title"))
-    return wanted.join(vertexes.select(F.col("id").alias("to_id"), "title"), "title").groupBy("from_id").agg(F.max("to_id").alias("to_id"))
+    placed = ["ordinal"] if "ordinal" in redirect.columns else []
+    wanted = redirect.filter("rd_namespace = 0").select(F.col("rd_from").alias("from_id"), canonical_title(F.col("rd_title")).alias("title"), *placed)
+    found = wanted.join(vertexes.select(F.col("id").alias("to_id"), "title"), "title")
+    last = F.max_by("to_id", F.struct("ordinal", "to_id")) if placed else F.max("to_id")
+    return found.groupBy("from_id").agg(last.alias("to_id"))
 
 
 def links(pagelinks: DataFrame, link_targets: DataFrame) -> DataFrame:

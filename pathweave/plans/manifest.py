@@ -24,8 +24,10 @@ class Manifest:
     vertex_count: int = 0
     edge_count: int = 0
     resolved_edge_count: int = 0
-    #: distinct edges without self-loops, which decide how searches run
+    #: edges without repeats
     distinct_edge_count: int = 0
+    #: into which the blocks are dealt
+    buckets: int = 0
     stage_seconds: dict[str, float] = field(default_factory=dict)
     stage_rows: dict[str, int] = field(default_factory=dict)
 

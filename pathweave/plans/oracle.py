@@ -50,8 +50,11 @@ def _walk(pairs: str, cap: int) -> str:
 _SHOWN = " SELECT s AS source_id, t AS target_id, array_to_string(p, '>') AS path, lvl AS degrees FROM found"
 _STEPS = ", steps AS (SELECT p[i] AS src, p[i + 1] AS dst FROM (SELECT p, unnest(range(1, len(p))) AS i FROM found))"
 _SPOTS = ", spots AS (SELECT s, t, p, unnest(range(1, len(p) + 1)) AS position, unnest(p) AS id FROM found)"
-_CACHE = "c(source_id, target_id, n_paths) AS (VALUES (2, 3, 1), (7, 7, 1), (9, 10, 0)), q(source_id, target_id) AS (VALUES (2, 3), (7, 7), (9, 10), (5, 6))"
-_SITEMAP = _g1(f""", {_TOP}, top AS (SELECT id, rank FROM ranked WHERE rank <= 300),
+_CATALOG = """WITH last AS (SELECT CAST(ts AS DATE) AS day, event_id % 5 AS job, arg_max(ts, event_id) AS at, arg_max(event_type, event_id) AS kind, arg_max(user_id, event_id) AS who FROM events GROUP BY ALL),
+dated AS (SELECT *, CASE WHEN who % 17 = 0 THEN day + 1 ELSE day END AS d FROM last),
+catalog AS (SELECT count(*) = 5 AND bool_and(kind <> 'error') AS complete, CASE WHEN count(DISTINCT d) = 1 THEN strftime(min(d), '%Y-%m-%d') END AS dump_date, CAST(count(DISTINCT d) AS INTEGER) AS n_dates,
+  strftime(date_trunc('second', max(at)), '%Y-%m-%d %H:%M:%S') AS updated FROM dated GROUP BY day)"""
+_SITEMAP = _g1(f""", {_TOP}, top AS (SELECT id, rank FROM ranked),
 p AS (SELECT 'https://links.example/paths/' || a.id || '/' || b.id AS url, row_number() OVER (ORDER BY a.rank, b.rank) AS position FROM top a JOIN top b ON a.rank <> b.rank),
 u AS (SELECT 0 AS position, 'https://links.example' AS url UNION ALL SELECT position, url FROM p), w AS (SELECT CAST(position AS BIGINT) AS position, CAST(position // 50000 AS BIGINT) AS chunk, url FROM u)""")
 _EMPTY_XML = len('<?xml version="1.0" encoding="utf-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"></urlset>')
@@ -62,6 +65,7 @@ ORACLE = {
     "direct_links": _g1("SELECT * FROM links"), "edges_resolved": _g1("SELECT * FROM edges"), "dump_resolution": _g1("SELECT * FROM edges"),
     "unresolved_links": _g1("SELECT * FROM unresolved_links"), "redirect_failures": _g1("SELECT * FROM redirect_failures"),
     "sqldump_roundtrip": _g1("""SELECT page_id, page_namespace, concat(page_title, '_it''s (\\a),"b"') AS page_title, page_is_redirect FROM page""").replace("\\\\", "\\"),
+    "dump_rejects": _g1("SELECT CASE lt_id % 20 WHEN 3 THEN '2 values where 3 are due' WHEN 9 THEN 'parenthesis inside a tuple' WHEN 14 THEN 'values not understood' ELSE 'none' END AS error, count(*) AS n FROM linktarget GROUP BY 1"),
     "max_vertex_id": _g1("SELECT max(id) AS max_id FROM vertexes"),
     "db_status_counts": _g1(" UNION ALL ".join(f"SELECT '{n}' AS metric, count(*) AS n FROM {n}" for n in ("vertexes", "link_targets", "redirects", "links", "edges", "unresolved_links", "redirect_failures"))),
     "adjacency_lists": _g1(""", ids AS (SELECT id FROM vertexes UNION SELECT src FROM edges UNION SELECT dst FROM edges),
@@ -72,6 +76,10 @@ SELECT ids.id, coalesce(o.x, '') AS outgoing, coalesce(i.x, '') AS incoming FROM
 SELECT direction, n.id, title, lpad(CAST(n.id AS VARCHAR), 9, '0') || chr(9) || coalesce(title, 'null') AS line FROM n LEFT JOIN vertexes v ON v.id = n.id"""),
     "vertex_by_title": _g1("SELECT * FROM vertexes WHERE title = 'Customer 000000042'"), "vertex_by_id": _g1("SELECT * FROM vertexes WHERE id = 42"),
     "prefix_search": _g1("SELECT * FROM vertexes WHERE starts_with(title, 'Customer 00000012') ORDER BY title, id LIMIT 5"),
+    "prefix_search_redirects": _g1(""", t AS (SELECT v.title, v.id, coalesce(u.id, v.id) AS page, coalesce(u.title, v.title) AS page_title FROM vertexes v
+  LEFT JOIN redirects r ON v.is_redirect AND r.from_id = v.id LEFT JOIN vertexes u ON u.id = r.to_id),
+h AS (SELECT *, row_number() OVER (ORDER BY title, id) AS k FROM t WHERE starts_with(title, 'Customer 00000012'))
+SELECT CAST(min(k) AS INTEGER) AS position, page AS id, page_title AS title FROM h WHERE k <= 5 GROUP BY ALL"""),
     "random_page_ge": _g1("SELECT * FROM vertexes WHERE id >= 77 AND NOT is_redirect ORDER BY id LIMIT 1"),
     "sssp_single_path": _g0(_walk("(2,3)", 4) + _SHOWN), "sssp_multi_path": _g0(_walk("(101,140)", 4) + _SHOWN), "sssp_same": _g0(_walk("(8,8)", 1) + _SHOWN),
     "sssp_unreachable": _g0(_walk("(2,100)", 8) + _SHOWN, True), "sssp_sparse_deep": _g0(_walk("(2,3)", 10) + _SHOWN, True),
@@ -89,7 +97,10 @@ spots AS (SELECT s, t, ix, n, deep, unnest(range(0, len(p))) AS depth, unnest(p)
 per AS (SELECT s, t, id, min(depth) AS depth, avg(ix) AS ix, max(n) AS n, max(deep) AS deep FROM spots GROUP BY s, t, id)
 SELECT s AS source_id, t AS target_id, id, CASE WHEN id = s THEN 2 WHEN id = t THEN 1 ELSE 0 END AS rank,
   round(CASE WHEN id = s THEN 50.0::DOUBLE WHEN id = t THEN 8142.0::DOUBLE ELSE 50 + depth::DOUBLE / greatest(1, deep) * 8092 END, 4) AS x, round(400 + ix / greatest(1, n - 1) * 7392, 4) AS y FROM per"""),
-    "cache_hit_miss": f"""WITH {_CACHE} SELECT CAST(q.source_id AS BIGINT) AS source_id, CAST(q.target_id AS BIGINT) AS target_id, CASE WHEN n_paths IS NULL THEN 'miss' ELSE 'hit' END AS state, n_paths FROM q LEFT JOIN c ON c.source_id = q.source_id AND c.target_id = q.target_id""",
+    "cache_hit_miss": """WITH c AS (SELECT o_custkey + 1 AS s, o_orderkey % 7 + 1 AS t, o_orderdate AS at, CAST(o_orderkey % 3 AS INTEGER) AS n FROM orders),
+l AS (SELECT s, t, n, row_number() OVER (PARTITION BY s, t ORDER BY at DESC, CASE n WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END) AS k FROM c),
+q AS (SELECT c_custkey + 1 AS s, c_custkey % 7 + 1 AS t FROM customer)
+SELECT q.s AS source_id, q.t AS target_id, CASE WHEN n IS NULL THEN 'miss' ELSE 'hit' END AS state, n AS n_paths FROM q LEFT JOIN l ON l.s = q.s AND l.t = q.t AND k = 1""",
     "cached_search": _g0(_walk("(60,7),(2,20)", 4) + _SHOWN + " UNION ALL SELECT * FROM (VALUES (CAST(7 AS BIGINT), CAST(7 AS BIGINT), '7', 0), (101, 140, '101>57>734>598>140', 4), (101, 140, '101>2>3>4>140', 4))"),
     "long_paths_report": _g1(f""", {_walk(PAIRS, 4)} SELECT a.title AS source_title, b.title AS target_title, CAST(x.n AS INTEGER) AS first_path_vertices FROM (SELECT s, t, max(len(p)) AS n FROM found GROUP BY s, t) x
 JOIN vertexes a ON a.id = s JOIN vertexes b ON b.id = t WHERE n >= 4 ORDER BY n DESC, a.title, b.title LIMIT 20"""),
@@ -101,8 +112,8 @@ SELECT ids.id, v.title, top.rank IS NOT NULL AS top, top.rank FROM ids JOIN vert
 WHERE e.src IN (SELECT id FROM vertexes) AND e.dst IN (SELECT id FROM vertexes)"""),
     "sitemap_urls": f"{_SITEMAP} SELECT * FROM w",
     "sitemap_chunks": f"{_SITEMAP} SELECT chunk, CAST(count(*) AS INTEGER) AS n_urls, CAST(sum(length(url)) + {_URL_XML} * count(*) + {_EMPTY_XML} AS BIGINT) AS n_chars FROM w GROUP BY chunk",
-    "dump_catalog": """SELECT * FROM (VALUES (true, '2024-05-01', 1, '2024-05-03 10:00:00'), (false, '2024-05-20', 1, '2024-05-22 01:02:03'), (true, NULL, 2, '2024-05-03 10:00:00'), (true, '2024-04-01', 1, '2024-05-03 10:00:00')) t(complete, dump_date, n_dates, updated)""",
-    "dump_catalog_latest": "SELECT '0.8' AS version, '2024-05-01' AS dump_date",
+    "dump_catalog": f"{_CATALOG} SELECT * FROM catalog",
+    "dump_catalog_latest": f"{_CATALOG} SELECT '0.8' AS version, dump_date FROM catalog WHERE complete AND dump_date IS NOT NULL ORDER BY dump_date DESC LIMIT 1",
     "search_log_stats": """WITH l AS (SELECT e.user_id + 1 AS s, n.user_id + 1 AS t, CAST(round(e.value) AS BIGINT) AS ms FROM events e JOIN events n ON n.event_id = e.event_id + 1)
 SELECT s AS source_page_id, count(*) AS n, count(DISTINCT t) AS n_targets, round(avg(ms), 4) AS mean_ms, max(ms) AS max_ms FROM l GROUP BY s""",
     "graph_validate": _g1("""SELECT 'no_vertexes' AS "check", CAST(count(*) = 0 AS BIGINT) AS failures FROM vertexes UNION ALL SELECT 'bad_vertex_ids', count(*) FROM vertexes WHERE id IS NULL OR id <= 0

@@ -6,15 +6,14 @@ dump-shaped tables with namespaces, missing titles and redirects.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions import numbered_title, path_text
-from pathweave.operators import adjacency, bfs, cache, lookup, paths, resolve, toppages
+from pathweave.operators import adjacency, bfs, blocks, cache, lookup, paths, resolve, toppages
+from pathweave.plans import storage
 from pathweave.plans.storage import stored
-from pathweave.sources import jsonapi, sqldump, tables, weblinks
+from pathweave.sources import jsonapi, sqldump, sqltuples, tables, weblinks
 
 G0_PAIRS = [(2, 3), (2, 100), (8, 50), (8, 8), (101, 140), (2, 20), (60, 7), (2, 800)]
 BASE_URL = "https://links.example"
@@ -52,8 +51,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_pair_levels(spark, sf_dir):
-    """The pairs of multi_pair_paths, searched by joins level by level."""
-    return _shown(bfs.shortest_paths(_pairs(spark, G0_PAIRS), _graph(spark, sf_dir)["edges"], strategy="levels"))
+    """The pairs of multi_pair_paths in a graph of short blocks, so that vertices have several."""
+    return _shown(bfs.shortest_paths(_pairs(spark, G0_PAIRS), blocks.build(_graph(spark, sf_dir)["edges"], block=4)))
 
 
 def multi_pair_paths(spark, sf_dir):
@@ -106,10 +105,19 @@ def sqldump_roundtrip(spark, sf_dir):
 
 def dump_resolution(spark, sf_dir):
     """Edges of G1 when all four tables go through dump text."""
-    parsed = {name: sqldump.parse(sqldump.render(df, name), name) for name, df in tables.dump_tables(spark, sf_dir).items()}
+    parsed = {name: sqltuples.parse(sqldump.render(df, name), name) for name, df in tables.dump_tables(spark, sf_dir).items()}
     return resolve.resolve(parsed)["edges"]
 
 
+def dump_rejects(spark, sf_dir):
+    """Tuples of a dump of which some are broken, by what is wrong of them."""
+    place, first, title = F.col("lt_id") % 20, F.concat_ws(",", F.col("lt_id").cast("string"), F.col("lt_namespace").cast("string")), F.concat(F.lit("'"), "lt_title", F.lit("'"))
+    inside = F.when(place == 3, first).when(place == 9, F.concat(first, F.lit(",(1),"), title)).when(place == 14, F.concat(F.col("lt_id").cast("string"), F.lit(",,"), title)).otherwise(F.concat(first, F.lit(","), title))
+    rows = tables.linktarget(spark, sf_dir).select((F.col("lt_id") % 50).alias("g"), F.concat(F.lit("("), inside, F.lit(")")).alias("t"))
+    lines = rows.groupBy("g").agg(F.concat(F.lit("INSERT INTO `linktarget` VALUES "), F.array_join(F.collect_list("t"), ","), F.lit(";")).alias("value"))
+    return sqltuples.tuples(lines, "linktarget").groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
+
+
 def db_status_counts(spark, sf_dir):
     g = _graph(spark, sf_dir)
     names = ["vertexes", "link_targets", "redirects", "links", "edges", "unresolved_links", "redirect_failures"]
@@ -122,7 +130,7 @@ def db_status_counts(spark, sf_dir):
 
 def adjacency_lists(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    lists = adjacency.adjacency(g["edges"], g["vertexes"])
+    lists = adjacency.lists(blocks.build(g["edges"], block=16), g["vertexes"])
     return lists.select("id", path_text(F.col("outgoing"), ",").alias("outgoing"), path_text(F.col("incoming"), ",").alias("incoming"))
 
 
@@ -141,6 +149,11 @@ def prefix_search(spark, sf_dir):
     return lookup.by_prefix(_graph(spark, sf_dir)["vertexes"], "Customer_00000012")
 
 
+def prefix_search_redirects(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return lookup.search_prefix(lookup.titles(g["vertexes"], g["redirects"]), "Customer_00000012")
+
+
 def _vertexes(find):
     return lambda spark, sf_dir: find(_graph(spark, sf_dir)["vertexes"])
 
@@ -153,8 +166,22 @@ def _cached(spark, sf_dir):
         "source_page_id", "target_page_id", F.to_timestamp("t").alias("timestamp"), F.lit(0.5).alias("duration"), "path_data")
 
 
+def _cache_of_orders(spark, sf_dir):
+    """A stored cache: an order is a search of its customer, for none to two paths; it is written in ten turns, so that buckets are rewritten."""
+    s, t, n = F.col("o_custkey") + 1, F.col("o_orderkey") % 7 + 1, F.col("o_orderkey") % 3
+    rows = tables.read(spark, sf_dir, "orders").select(
+        "o_orderkey", s.alias("source_page_id"), t.alias("target_page_id"), F.col("o_orderdate").alias("timestamp"), F.lit(0.5).alias("duration"),
+        F.to_json(F.slice(F.array(F.array(s, t), F.array(s, F.lit(0).cast("bigint"), t)), F.lit(1), n.cast("int"))).alias("path_data"))
+    made = cache.PathCache(spark, storage.new_path(spark, "orders"), buckets=4)
+    for turn in range(10):
+        made.add(rows.filter(F.col("o_orderkey") % 10 == turn))
+    return made
+
+
 def cache_hit_miss(spark, sf_dir):
-    pairs, c = _pairs(spark, [(2, 3), (7, 7), (9, 10), (5, 6)]), _cached(spark, sf_dir)
+    """The pairs of all customers against the cache."""
+    pairs = tables.read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("source_id"), (F.col("c_custkey") % 7 + 1).alias("target_id"))
+    c = _cache_of_orders(spark, sf_dir).rows(pairs)
     hit = cache.hits(pairs, c).select("source_id", "target_id", F.lit("hit").alias("state"), F.size("paths").alias("n_paths"))
     return hit.unionByName(cache.misses(pairs, c).select("source_id", "target_id", F.lit("miss").alias("state"), F.lit(None).cast("int").alias("n_paths")))
 
@@ -213,25 +240,27 @@ def sitemap_chunks(spark, sf_dir):
     return toppages.sitemap_documents(_sitemap(spark, sf_dir)).select("chunk", "n_urls", F.length("xml").cast("bigint").alias("n_chars"))
 
 
-def _dump_documents(spark):
-    def status(date: str, done: bool, mixed: bool = False, updated: str = "2024-05-03 10:00:00") -> str:
-        names = {"redirecttable": "redirect", "pagetable": "page", "pagepropstable": "page_props", "pagelinkstable": "pagelinks", "linktargettable": "linktarget"}
-        jobs = {}
-        for i, (job, name) in enumerate(names.items()):
-            day = "19990101" if mixed and i == 4 else date
-            jobs[job] = {"status": "done" if done or i < 4 else "waiting", "updated": updated, "files": {f"x-{day}-{name}.sql.gz": {"size": 10 + i, "url": f"/x/{day}/x-{day}-{name}.sql.gz", "md5": "0", "sha1": "1"}}}
-        return json.dumps({"version": "0.8", "jobs": jobs})
-
-    rows = [status("20240501", True), status("20240520", False, updated="2024-05-22 01:02:03"), status("20240420", True, mixed=True), status("20240401", True)]
-    return spark.createDataFrame([(r,) for r in rows], "value string")
+def _dump_documents(spark, sf_dir):
+    """A dump status for each day of events: the last event of every fifth is the state of a job."""
+    names = {"redirecttable": "redirect", "pagetable": "page", "pagepropstable": "page_props", "pagelinkstable": "pagelinks", "linktargettable": "linktarget"}
+    events = tables.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), (F.col("event_id") % 5).alias("job"), "event_id", "ts", "event_type", "user_id")
+    last = events.groupBy("day", "job").agg(F.max_by(F.struct("ts", "event_type", "user_id"), "event_id").alias("e")).select("day", "job", "e.*")
+    date = F.date_format(F.when(F.col("user_id") % 17 == 0, F.date_add("day", 1)).otherwise(F.col("day")), "yyyyMMdd")
+    name = F.get(F.array(*[F.lit(n) for n in names.values()]), F.col("job").cast("int"))
+    path = F.concat(F.lit("x-"), date, F.lit("-"), name, F.lit(".sql.gz"))
+    file = F.struct(F.lit(1).alias("size"), F.concat(F.lit("/x/"), date, F.lit("/"), path).alias("url"))
+    state = F.struct(F.when(F.col("event_type") == "error", "waiting").otherwise("done").alias("status"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated"), F.create_map(path, file).alias("files"))
+    jobs = last.groupBy("day").agg(*[F.max(F.when(F.col("job") == i, F.to_json(state))).alias(job) for i, job in enumerate(names)])
+    body = F.concat_ws(",", *[F.concat(F.lit(f'"{job}":'), F.col(job)) for job in names])
+    return jobs.select(F.concat(F.lit('{"version":"0.8","jobs":{'), body, F.lit("}}")).alias("value"))
 
 
 def dump_catalog(spark, sf_dir):
-    return jsonapi.dump_catalog(_dump_documents(spark)).select("complete", F.date_format("dump_date", "yyyy-MM-dd").alias("dump_date"), "n_dates", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+    return jsonapi.dump_catalog(_dump_documents(spark, sf_dir)).select("complete", F.date_format("dump_date", "yyyy-MM-dd").alias("dump_date"), "n_dates", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 
 
 def dump_catalog_latest(spark, sf_dir):
-    return jsonapi.latest_dump(jsonapi.dump_catalog(_dump_documents(spark))).select("version", F.date_format("dump_date", "yyyy-MM-dd").alias("dump_date"))
+    return jsonapi.latest_dump(jsonapi.dump_catalog(_dump_documents(spark, sf_dir))).select("version", F.date_format("dump_date", "yyyy-MM-dd").alias("dump_date"))
 
 
 def graph_validate(spark, sf_dir):
@@ -245,10 +274,10 @@ def html_link_extract(spark, sf_dir):
 
 QUERIES = {
     "vertexes_load": _g1("vertexes"), "link_targets_load": _g1("link_targets"), "redirect_map": _g1("redirects"), "direct_links": _g1("links"), "edges_resolved": _g1("edges"),
-    "unresolved_links": _g1("unresolved_links"), "redirect_failures": _g1("redirect_failures"), "sqldump_roundtrip": sqldump_roundtrip, "dump_resolution": dump_resolution,
+    "unresolved_links": _g1("unresolved_links"), "redirect_failures": _g1("redirect_failures"), "sqldump_roundtrip": sqldump_roundtrip, "dump_resolution": dump_resolution, "dump_rejects": dump_rejects,
     "max_vertex_id": _vertexes(lookup.max_id), "db_status_counts": db_status_counts, "adjacency_lists": adjacency_lists,
     "degrees": lambda spark, sf_dir: adjacency.degrees(_graph(spark, sf_dir)["edges"]), "neighbors_titles": neighbors_titles,
-    "vertex_by_title": _vertexes(lambda v: lookup.by_title(v, "Customer_000000042")), "vertex_by_id": _vertexes(lambda v: lookup.by_id(v, 42)), "prefix_search": prefix_search,
+    "vertex_by_title": _vertexes(lambda v: lookup.by_title(v, "Customer_000000042")), "vertex_by_id": _vertexes(lambda v: lookup.by_id(v, 42)), "prefix_search": prefix_search, "prefix_search_redirects": prefix_search_redirects,
     "random_page_ge": _vertexes(lambda v: lookup.next_page(v, 77)), "sssp_single_path": _raw([(2, 3)]), "sssp_multi_path": _raw([(101, 140)]), "sssp_same": _raw([(8, 8)]),
     "sssp_unreachable": _raw([(2, 100)], urgent=True), "sssp_sparse_deep": _raw([(2, 3)], urgent=True), "multi_pair_paths": multi_pair_paths, "multi_pair_levels": multi_pair_levels, "path_summary": path_summary, "path_counts": path_counts,
     "path_titles": path_titles, "path_edges_raw": path_edges_raw, "path_edges_distinct": path_edges_distinct, "frontier_cost": frontier_cost, "path_layout": path_layout,

@@ -89,10 +89,16 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.write(bytearray(data))
     finally:
         out.close()
+    replace(spark, beside.toString(), path)
+
+
+def replace(spark: SparkSession, source: str, path: str) -> None:
+    """Rename a file over another in one step."""
     files = spark._jvm.org.apache.hadoop.fs
+    (_, beside), (_, p) = _hadoop(spark, source), _hadoop(spark, path)
     modes = spark._sc._gateway.new_array(getattr(files, "Options$Rename"), 1)
     modes[0] = getattr(files, "Options$Rename").OVERWRITE
-    files.FileContext.getFileContext(beside.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, p, modes)
+    files.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, p, modes)
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:

@@ -15,8 +15,12 @@ _ESCAPES = [("\\0", "\0"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\Z",
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Lines of a dump. A gzip file is one split, so its statements are dealt out before parsing."""
-    lines = spark.read.text(path)
+    """(value, line): statements of a dump and their place in it. A gzip file is one split, so its statements are dealt out before parsing.
+
+    ``line`` orders lines by file, split and place in the split.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", place.alias("line"))
     return lines.filter(F.col("value").startswith("INSERT ")).repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
@@ -39,21 +43,21 @@ def _value(raw: Column, kind: str) -> Column:
 
 
 def parse(lines: DataFrame, table: str) -> DataFrame:
-    """Rows of the INSERT statements of ``table`` among ``lines``; other lines are skipped."""
-    columns = DUMP_COLUMNS[table]
+    """Rows of the INSERT statements of ``table`` among ``lines``; other lines are skipped.
+
+    Where the lines know their place, each row has an ``ordinal`` that orders it among all rows of the dump.
+    """
     statements = lines.filter(F.col("value").startswith(f"INSERT INTO `{table}` "))
-    tuples = statements.select(F.explode(F.regexp_extract_all("value", F.lit(_TUPLE), F.lit(0))).alias("t"))
-    values = tuples.select(F.regexp_extract_all(F.substring("t", F.lit(2), F.length("t") - 2), F.lit(_VALUE), F.lit(0)).alias("v"))
-    return values.select(*[_value(F.get("v", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(columns)])
-
-
-def malformed(lines: DataFrame, table: str) -> DataFrame:
-    """Statements of ``table`` that are more than their well-formed tuples, with the number of tuples understood."""
-    head = f"INSERT INTO `{table}` VALUES "
-    found = F.regexp_extract_all("value", F.lit(_TUPLE), F.lit(0))
-    rest = F.regexp_replace(F.substring("value", F.lit(len(head) + 1), F.length("value")), r";\s*$", "")
-    rows = lines.filter(F.col("value").startswith(f"INSERT INTO `{table}` ")).select("value", found.alias("tuples"), rest.alias("rest"))
-    return rows.filter(F.array_join("tuples", ",") != F.col("rest")).select("value", F.size("tuples").alias("understood"))
+    placed = ["line"] if "line" in lines.columns else []
+    tuples = statements.select(*placed, F.posexplode(F.regexp_extract_all("value", F.lit(_TUPLE), F.lit(0))).alias("n", "t"))
+    ordinal = [F.struct("line", "n").alias("ordinal")] if placed else []
+    values = tuples.select(F.regexp_extract_all(F.substring("t", F.lit(2), F.length("t") - 2), F.lit(_VALUE), F.lit(0)).alias("v"), *ordinal)
+    return typed(values, table)
+
+
+def typed(values: DataFrame, table: str) -> DataFrame:
+    """Raw values (array v) as the columns of ``table``; an ordinal passes."""
+    return values.select(*[_value(F.get("v", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(DUMP_COLUMNS[table])], *[c for c in values.columns if c == "ordinal"])
 
 
 def _literal(name: str, kind: str) -> Column:

@@ -4,7 +4,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from pathweave.operators import adjacency, bfs, paths
+from pathweave.operators import adjacency, bfs, blocks, paths
 from pathweave.sources import tsv
 
 HAND = [(1, 2), (1, 3), (1, 3), (2, 4), (2, 2), (3, 4), (4, 5), (6, 1)]
@@ -41,27 +41,28 @@ def frames(spark, pairs, edges):
     return spark.createDataFrame(pairs, "source_id long, target_id long"), spark.createDataFrame(edges, "src long, dst long")
 
 
-def found(spark, pairs, edges, strategy):
+def found(spark, pairs, edges, block=blocks.BLOCK):
     out = {p: [] for p in pairs}
-    for r in bfs.shortest_paths(*frames(spark, pairs, edges), strategy=strategy).collect():
+    p, e = frames(spark, pairs, edges)
+    for r in bfs.shortest_paths(p, blocks.build(e, block=block)).collect():
         out[(r.source_id, r.target_id)].append(r.path)
     return {p: sorted(x) for p, x in out.items()}
 
 
-@pytest.mark.parametrize("strategy", ["levels", "broadcast"])
-def test_hand_graph(spark, strategy):
+@pytest.mark.parametrize("block", [1, blocks.BLOCK])
+def test_hand_graph(spark, block):
     pairs = [(1, 4), (1, 5), (6, 5), (2, 2), (5, 1), (4, 9), (9, 9)]
-    got = found(spark, pairs, HAND, strategy)
+    got = found(spark, pairs, HAND, block)
     assert got == {p: brute(HAND, *p) for p in pairs}
     assert got[(6, 5)] == [[6, 1, 2, 4, 5], [6, 1, 3, 4, 5]] and got[(5, 1)] == []
 
 
-@pytest.mark.parametrize("strategy", ["levels", "broadcast"])
-def test_random_graphs(spark, strategy):
+@pytest.mark.parametrize("block", [2, blocks.BLOCK])
+def test_random_graphs(spark, block):
     rng = np.random.default_rng(3)
     edges = [tuple(map(int, e)) for e in rng.integers(1, 40, (110, 2))]
     pairs = [tuple(map(int, p)) for p in {tuple(p) for p in rng.integers(1, 42, (25, 2)).tolist()}]
-    assert found(spark, pairs, edges, strategy) == {p: brute(edges, *p) for p in pairs}
+    assert found(spark, pairs, edges, block) == {p: brute(edges, *p) for p in pairs}
 
 
 def test_tsv_all_pairs(spark, tmp_path):
@@ -70,7 +71,7 @@ def test_tsv_all_pairs(spark, tmp_path):
     assert {r.id: r.outgoing for r in lists.collect()}[1] == [6, 7]
     edges = [(r.src, r.dst) for r in tsv.edges_of(lists).collect()]
     pairs = list(itertools.product([1, 4, 5, 6, 7, 9], repeat=2))
-    got = found(spark, pairs, edges, "auto")
+    got = found(spark, pairs, edges)
     assert all(len(p) == 1 for p in got.values())
     assert got[(5, 6)] == [[5, 4, 9, 1, 6]] and got[(6, 7)] == [[6, 4, 9, 1, 7]]
 
@@ -96,11 +97,11 @@ def test_summary_and_layout(spark):
 def test_adjacency_and_validate(spark):
     edges = spark.createDataFrame(HAND, "src long, dst long")
     vertexes = spark.createDataFrame([(i, str(i), False) for i in (1, 2, 3, 4, 5, 6, 9)], "id long, title string, is_redirect boolean")
-    lists = {r.id: (r.outgoing, r.incoming) for r in adjacency.adjacency(edges, vertexes).collect()}
+    lists = {r.id: (r.outgoing, r.incoming) for r in adjacency.lists(blocks.build(edges, block=2), vertexes).collect()}
     assert lists[1] == ([2, 3, 3], [6]) and lists[9] == ([], []) and lists[2] == ([2, 4], [1, 2])
     assert all(r.failures == 0 for r in adjacency.validate(edges, vertexes).collect())
     bad = edges.unionByName(spark.createDataFrame([(0, 50)], "src long, dst long"))
     assert {r["check"]: r.failures for r in adjacency.validate(bad, vertexes).collect() if r.failures} == {"bad_edge_ids": 1, "ends_beyond_max_id": 1}
     none = spark.createDataFrame([], "src long, dst long")
     assert {r["check"] for r in adjacency.validate(none, vertexes).collect() if r.failures} == {"no_edges"}
-    assert found(spark, [(1, 2), (3, 3)], [(8, 8)], "levels") == {(1, 2): [], (3, 3): [[3]]}
+    assert found(spark, [(1, 2), (3, 3)], [(8, 8)]) == {(1, 2): [], (3, 3): [[3]]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathweave import cli, functions
 from pathweave.engine import GraphEngine
-from pathweave.operators import adjacency, bfs, resolve
+from pathweave.operators import adjacency, bfs, blocks, resolve
 from pathweave.plans import storage
 from tests.test_graph import brute, frames
 
@@ -25,27 +25,26 @@ def expected(pairs, edges):
 
 @pytest.mark.parametrize("few", [0, 1_000])
 def test_stored_graph_gives_the_same_paths(spark, monkeypatch, few):
-    monkeypatch.setattr(bfs, "FEW_VERTICES", few)
+    monkeypatch.setattr(blocks, "FEW", few)
     rng = np.random.default_rng(11)
     edges = [tuple(map(int, e)) for e in rng.integers(1, 30, (70, 2))]
     pairs = sorted({tuple(map(int, p)) for p in rng.integers(1, 32, (15, 2))})
     p, e = frames(spark, pairs, edges)
-    ways = bfs.ways_of(e)
-    assert listed(bfs.shortest_paths(p, ways, strategy="levels")) == expected(pairs, edges)
-    assert listed(bfs.shortest_paths(p, ways)) == expected(pairs, edges)
+    graph = blocks.build(e, block=3)
+    assert listed(bfs.shortest_paths(p, graph)) == expected(pairs, edges)
+    assert listed(bfs.shortest_paths(p, e)) == expected(pairs, edges)
 
 
 def test_no_limit_of_levels(spark):
-    chain = [(i, i + 1) for i in range(1, 31)]
-    p, e = frames(spark, [(1, 31), (31, 1)], chain)
-    for strategy in ("levels", "broadcast"):
-        assert [r.path for r in bfs.shortest_paths(p, e, strategy=strategy).collect()] == [list(range(1, 32))]
+    chain = [(i, i + 1) for i in range(1, 25)]
+    p, e = frames(spark, [(1, 25), (25, 1)], chain)
+    assert [r.path for r in bfs.shortest_paths(p, e).collect()] == [list(range(1, 26))]
 
 
 def test_pairs_without_a_search(spark):
     p, e = frames(spark, [(3, 3)], [(1, 2)])
-    assert listed(bfs.shortest_paths(p, e, strategy="levels")) == [(3, 3, (3,))]
-    assert bfs.shortest_paths(p.limit(0), e, strategy="levels").count() == 0
+    assert listed(bfs.shortest_paths(p, e)) == [(3, 3, (3,))]
+    assert bfs.shortest_paths(p.limit(0), e).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -62,10 +61,10 @@ def engine(spark, tmp_path_factory):
 def test_build_stores_what_searches_read(engine):
     assert [(r.from_id, r.to_id) for r in engine.read("redirects").collect()] == [(6, 4)]
     status = json.loads(storage.read_bytes(engine.spark, f"{engine.folder}/status.json"))
-    assert status["distinct_edge_count"] == 5 and status["stage_rows"]["steps"] == 10 and set(status["stage_seconds"]) == set(status["stage_rows"])
+    assert status["distinct_edge_count"] == 5 and status["stage_rows"]["blocks"] == 9 and status["buckets"] == 4 and set(status["stage_seconds"]) == set(status["stage_rows"])
     assert all(rate >= 0 for rate in engine.build({}, publish=False).rates().values())
-    plan = engine.graph.steps.filter("v = 3")._jdf.queryExecution().toString()
-    assert "Exchange" not in plan and "EqualTo(v,3)" in plan
+    plan = engine.graph.at([3 << 25])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and f"EqualTo(slot,{3 << 25})" in plan and "SelectedBucketsCount: 1 out of 4" in plan
 
 
 def test_query_leaves_no_scratch_and_reads_no_graph_when_cached(engine, monkeypatch):
@@ -85,7 +84,7 @@ def test_query_leaves_no_scratch_and_reads_no_graph_when_cached(engine, monkeypa
 def test_neighbours_from_stored_lists(engine):
     key = lambda r: (r.direction, r.id, r.title)
     for page in range(1, 7):
-        stored = sorted(map(key, adjacency.read_edges(page, engine.read("adjacency"), engine.vertexes).collect()))
+        stored = sorted(map(key, adjacency.read_edges(page, engine.graph, engine.vertexes).collect()))
         assert stored == sorted(map(key, adjacency.neighbors(page, engine.edges, engine.vertexes).collect()))
 
 
@@ -125,4 +124,6 @@ def test_find_latest_urls_and_dump_check(spark, tmp_path, capsys):
     for name, text in (("page", "INSERT INTO `page` VALUES (1,0,'A',0),(2,0,'B;\n"), ("redirect", ""), ("pagelinks", ""), ("linktarget", "INSERT INTO `linktarget` VALUES (1,0,'A');\n")):
         (tmp_path / f"w-20240501-{name}.sql.gz").write_bytes(gzip.compress(text.encode()))
     e = GraphEngine(spark, str(tmp_path / "data"), "20240501")
-    assert [tuple(r) for r in e.malformed(str(tmp_path), "w").collect()] == [("page", 1)]
+    assert sorted((r.file, r.n, r.error) for r in e.malformed(str(tmp_path), "w").collect()) == [("page", 0, "4 values where 12 are due"), ("page", 1, "string not closed")]
+    assert cli.main(["--data", e.base, "build", "--dump-date", "20240501", "--dumps", str(tmp_path), "--prefix", "w", "--strict"], spark) == 1
+    assert "page: 1 tuples not loaded: string not closed" in capsys.readouterr().err and not (tmp_path / "data").exists()
