@@ -66,6 +66,8 @@ class Block:
     text: str
     main: int  # 2 in an article, 1 in a main element
     dropped: bool
+    region: int = 0  # number of the outermost article or main element around it
+    wrapped: bool = False  # whether that, or an article inside it, opened in a part that is never main text
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -93,21 +95,21 @@ def _region(name: str, raw: str) -> tuple[int, str]:
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page, in order; white space is collapsed and character references decoded."""
     out: list[Block] = []
-    #: (element, main, why) of open elements; main and why as they hold inside
-    stack: list[tuple[str, int, str]] = []
-    main, why, parts, at, size = 0, "", [], 0, len(page)
+    #: (element, main, why, region, wrapped) of open elements, as they hold inside
+    stack: list[tuple[str, int, str, int, bool]] = []
+    main, why, region, wrapped, regions, parts, at, size = 0, "", 0, False, 0, [], 0, len(page)
 
     def flush() -> None:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, main, bool(why)))
+                out.append(Block(text, main, bool(why), region, wrapped))
             parts.clear()
 
     def back_to(depth: int) -> None:
-        nonlocal main, why
+        nonlocal main, why, region, wrapped
         del stack[depth:]
-        _, main, why = stack[-1] if stack else ("", 0, "")
+        _, main, why, region, wrapped = stack[-1] if stack else ("", 0, "", 0, False)
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
@@ -121,7 +123,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    if (stack[depth][1], stack[depth][2]) != (stack[depth - 1][1:] if depth else (0, "")):
+                    if (stack[depth][1], stack[depth][2]) != (stack[depth - 1][1:3] if depth else (0, "")):
                         flush()
                     back_to(depth)
                     break
@@ -147,11 +149,15 @@ def blocks(page: str) -> list[Block]:
         if opens and why != "never" or drops:
             flush()
         if opens and why != "never" and (opens > main or not main):
-            # a layout wrapper does not make an article boilerplate
+            # a layout wrapper may hold the article or a teaser: parse() decides
+            if not main:
+                regions += 1
+                region = regions
+            wrapped = wrapped or bool(why)
             main, why = opens, ""
         elif drops and why != "never":
             why = drops
-        stack.append((name, main, why))
+        stack.append((name, main, why, region, wrapped))
     if at < size:
         rest = page[at:]
         parts.append(rest)
@@ -166,13 +172,27 @@ class Parsed:
     outside: list[str]  # all blocks outside of main regions
 
 
+def _size(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found)
+
+
 def parse(page: str) -> Parsed:
+    """Of the main regions of a page, those that no layout part wraps; where all are wrapped, these if they are most of the page.
+
+    Articles go before the text around them in a main element, and before main
+    elements without articles unless those have more text.
+    """
     found = blocks(page)
-    level = max((b.main for b in found if not b.dropped), default=0)
+    kept = [b for b in found if not b.dropped]
+    free, own, rest = [b for b in kept if b.main and not b.wrapped], [b for b in kept if b.main], [b for b in kept if not b.main]
     outside = [b.text for b in found if not b.main]
-    if level:
-        return Parsed(" ".join(b.text for b in found if b.main == level and not b.dropped), [], outside)
-    return Parsed(None, [b.text for b in found if not b.dropped], outside)
+    own = free or (own if _size(own) >= _size(rest) else [])
+    if own:
+        articles = [b for b in own if b.main == 2]
+        with_articles = {b.region for b in articles}
+        others = [b for b in own if b.region not in with_articles]
+        return Parsed(" ".join(b.text for b in (articles if _size(articles) >= _size(others) else others)), [], outside)
+    return Parsed(None, [b.text for b in rest], outside)
 
 
 def _token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -42,3 +42,15 @@ def test_host_boilerplate(spark):
 
 def test_empty_table(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_teasers_do_not_take_the_place_of_the_main_text():
+    text = lambda page: html_main.parse(page).text
+    teaser = "<div class=related><article>teaser one</article></div>"
+    for page in (f"{teaser}<main>main text here</main>", f"<main>main text here</main>{teaser}", f"<main>main <p>text here<aside>{teaser}</aside></main>",
+                 f"<article>main text here</article>{teaser}", "<main>main text here</main><article>teaser</article>"):
+        assert text(page) == "main text here", page
+    assert text("<div class=banner><article>all the text of the page</article></div><p>x</p>") == "all the text of the page"
+    assert text("<div class=related><article>teaser</article></div><p>all the text of the page</p>") is None
+    assert html_main.parse("<div class=related><article>teaser</article></div><p>all the text of the page</p>").open == ["all the text of the page"]
+    assert text("<main>path<article>one</article><article>two</article></main>") == "one two"
