@@ -37,7 +37,7 @@ from pathweave.llm import scratch
 from pathweave.llm.expressions import fresh, let
 
 SHINGLE = 5
-PERCENT = 80
+PERCENT = 75
 #: Cells of the table that counts shingles.
 CELLS = 1 << 16
 _GAPS = " \t\n\r\x0b\x0c"

@@ -101,10 +101,10 @@ ORACLE = {
     "op3_line_dedup": r"""
 WITH l AS (SELECT doc_id, k, line, list_filter(regexp_split_to_array(lower(line), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)),
-s AS (SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, i, i + 4), ' ') AS t FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - 3)) AS i FROM l WHERE len(w) >= 5)),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, i, i + 4), ' ') AS t FROM (SELECT doc_id, k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM l WHERE len(w) >= 1)),
 n AS (SELECT doc_id, k, count(*) AS n FROM s GROUP BY ALL),
 o AS (SELECT a.doc_id, a.k, b.doc_id AS d2, b.k AS k2, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.k < a.k) GROUP BY ALL),
-g AS (SELECT DISTINCT o.doc_id, o.k FROM o JOIN n x ON x.doc_id = o.doc_id AND x.k = o.k JOIN n y ON y.doc_id = d2 AND y.k = k2 WHERE 100 * c >= 80 * (x.n + y.n - c)),
+g AS (SELECT DISTINCT o.doc_id, o.k FROM o JOIN n x ON x.doc_id = o.doc_id AND x.k = o.k JOIN n y ON y.doc_id = d2 AND y.k = k2 WHERE 100 * c >= 75 * (x.n + y.n - c)),
 r AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL) AS text, count(*) AS n_lines, count(g.k) AS n_removed
   FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
@@ -142,5 +142,25 @@ FROM q LEFT JOIN m ON m.page_id = q.page_id AND m.k = 1""",
 }
 
 
+def _vector_codes_sql(rounds: int = 2) -> str:
+    """Plain Lloyd rounds: every distance of every part."""
+    distance = "list_sum(list_transform(list_zip(p.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = "SELECT p.r, p.s, min(64 * {d} + c.e) AS m FROM p JOIN c{k} c ON c.s = p.s GROUP BY p.r, p.s"
+    moved = """SELECT c.s, c.e, coalesce(q.c, c.c) AS c FROM c{k} c LEFT JOIN (SELECT s, e, list(CAST((t - (t % n + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT p.s, m % 64 AS e, i, sum(p.x[i]) AS t, count(*) AS n FROM p JOIN a{k} a ON a.r = p.r AND a.s = p.s, w, range(1, w.w + 1) u(i) GROUP BY ALL) GROUP BY s, e) q ON q.s = c.s AND q.e = c.e"""
+    steps = "".join(f", a{k} AS ({nearest.format(d=distance, k=k)}), c{k + 1} AS ({moved.format(k=k)})" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // 16 AS w FROM kept), p AS MATERIALIZED (SELECT r, s, list_slice(v, s * w + 1, (s + 1) * w) AS x FROM kept, w, range(16) t(s)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64), c0 AS (SELECT p.s, first.e, p.x AS c FROM p JOIN first ON first.r = p.r){steps},
+a AS ({nearest.format(d=distance, k=rounds)}), f AS (SELECT r, string_agg(format('{{:02x}}', m % 64), '' ORDER BY s) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY s, e)) FROM c{rounds}) AS codebooks_sha256 FROM f JOIN kept ON kept.r = f.r"""
+
+
+ORACLE["op13_vector_codes"] = _vector_codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -8,7 +8,7 @@ from pathweave.llm import line_dedup
 
 def tokens(line):
     words = [w for w in re.split(r"[\x09-\x0D\x20]+", line.lower().strip(" \t\n\r\x0b\x0c")) if w]
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
 
 
 def brute(rows):
@@ -21,7 +21,7 @@ def brute(rows):
         kept, gone = [], 0
         for k, x in enumerate(t.split("\n")):
             mine = tokens(x)
-            again = bool(mine) and any(p < (d, k) and y and 100 * len(mine & y) >= 80 * len(mine | y) for p, y, _ in lines)
+            again = bool(mine) and any(p < (d, k) and y and 100 * len(mine & y) >= 75 * len(mine | y) for p, y, _ in lines)
             gone += again
             if not again:
                 kept.append(x)
