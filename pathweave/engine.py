@@ -64,7 +64,8 @@ class GraphEngine:
             status.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), status.resolved_edge_count // EDGES_A_BUCKET)
             with storage.scope(self.spark):
                 self._timed(status, "blocks", lambda: blocks.build(self.edges, f"{self.folder}/blocks", status.buckets).rows.count())
-            status.distinct_edge_count = self.graph.rows.filter("side = 'f'").agg(F.sum(F.size("w"))).first()[0] or 0
+            made = blocks.read(self.spark, f"{self.folder}/blocks", status.buckets)
+            status.distinct_edge_count = made.rows.filter("side = 'f'").agg(F.sum(F.size("w"))).first()[0] or 0
             status.edges_sorted = status.build_complete = True
             manifest.save(self.spark, self.folder, status)
         if publish:

@@ -50,10 +50,10 @@ def _walk(pairs: str, cap: int) -> str:
 _SHOWN = " SELECT s AS source_id, t AS target_id, array_to_string(p, '>') AS path, lvl AS degrees FROM found"
 _STEPS = ", steps AS (SELECT p[i] AS src, p[i + 1] AS dst FROM (SELECT p, unnest(range(1, len(p))) AS i FROM found))"
 _SPOTS = ", spots AS (SELECT s, t, p, unnest(range(1, len(p) + 1)) AS position, unnest(p) AS id FROM found)"
-_CATALOG = """WITH last AS (SELECT CAST(ts AS DATE) AS day, event_id % 5 AS job, arg_max(ts, event_id) AS at, arg_max(event_type, event_id) AS kind, arg_max(user_id, event_id) AS who FROM events GROUP BY ALL),
+_CATALOG = """WITH last AS (SELECT CAST(ts AS DATE) AS day, event_id % 5 AS job, arg_max(ts, event_id) AS changed, arg_max(event_type, event_id) AS kind, arg_max(user_id, event_id) AS who FROM events GROUP BY ALL),
 dated AS (SELECT *, CASE WHEN who % 17 = 0 THEN day + 1 ELSE day END AS d FROM last),
 catalog AS (SELECT count(*) = 5 AND bool_and(kind <> 'error') AS complete, CASE WHEN count(DISTINCT d) = 1 THEN strftime(min(d), '%Y-%m-%d') END AS dump_date, CAST(count(DISTINCT d) AS INTEGER) AS n_dates,
-  strftime(date_trunc('second', max(at)), '%Y-%m-%d %H:%M:%S') AS updated FROM dated GROUP BY day)"""
+  strftime(date_trunc('second', max(changed)), '%Y-%m-%d %H:%M:%S') AS updated FROM dated GROUP BY day)"""
 _SITEMAP = _g1(f""", {_TOP}, top AS (SELECT id, rank FROM ranked),
 p AS (SELECT 'https://links.example/paths/' || a.id || '/' || b.id AS url, row_number() OVER (ORDER BY a.rank, b.rank) AS position FROM top a JOIN top b ON a.rank <> b.rank),
 u AS (SELECT 0 AS position, 'https://links.example' AS url UNION ALL SELECT position, url FROM p), w AS (SELECT CAST(position AS BIGINT) AS position, CAST(position // 50000 AS BIGINT) AS chunk, url FROM u)""")
@@ -97,8 +97,8 @@ spots AS (SELECT s, t, ix, n, deep, unnest(range(0, len(p))) AS depth, unnest(p)
 per AS (SELECT s, t, id, min(depth) AS depth, avg(ix) AS ix, max(n) AS n, max(deep) AS deep FROM spots GROUP BY s, t, id)
 SELECT s AS source_id, t AS target_id, id, CASE WHEN id = s THEN 2 WHEN id = t THEN 1 ELSE 0 END AS rank,
   round(CASE WHEN id = s THEN 50.0::DOUBLE WHEN id = t THEN 8142.0::DOUBLE ELSE 50 + depth::DOUBLE / greatest(1, deep) * 8092 END, 4) AS x, round(400 + ix / greatest(1, n - 1) * 7392, 4) AS y FROM per"""),
-    "cache_hit_miss": """WITH c AS (SELECT o_custkey + 1 AS s, o_orderkey % 7 + 1 AS t, o_orderdate AS at, CAST(o_orderkey % 3 AS INTEGER) AS n FROM orders),
-l AS (SELECT s, t, n, row_number() OVER (PARTITION BY s, t ORDER BY at DESC, CASE n WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END) AS k FROM c),
+    "cache_hit_miss": """WITH c AS (SELECT o_custkey + 1 AS s, o_orderkey % 7 + 1 AS t, o_orderdate AS found, CAST(o_orderkey % 3 AS INTEGER) AS n FROM orders),
+l AS (SELECT s, t, n, row_number() OVER (PARTITION BY s, t ORDER BY found DESC, CASE n WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END) AS k FROM c),
 q AS (SELECT c_custkey + 1 AS s, c_custkey % 7 + 1 AS t FROM customer)
 SELECT q.s AS source_id, q.t AS target_id, CASE WHEN n IS NULL THEN 'miss' ELSE 'hit' END AS state, n AS n_paths FROM q LEFT JOIN l ON l.s = q.s AND l.t = q.t AND k = 1""",
     "cached_search": _g0(_walk("(60,7),(2,20)", 4) + _SHOWN + " UNION ALL SELECT * FROM (VALUES (CAST(7 AS BIGINT), CAST(7 AS BIGINT), '7', 0), (101, 140, '101>57>734>598>140', 4), (101, 140, '101>2>3>4>140', 4))"),

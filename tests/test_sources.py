@@ -2,7 +2,7 @@ import gzip
 import json
 
 from pathweave.operators import resolve
-from pathweave.sources import jsonapi, sqldump
+from pathweave.sources import jsonapi, sqldump, sqltuples
 
 DUMP = r"""-- comment line, skipped
 INSERT INTO `page` VALUES (1,0,'Exploding_animal',0,0,0.5,'20240101000000',NULL,10,20,'wikitext',NULL),(2,0,'It\'s_(a),trap',1,0,0.25,'20240101000000','20240101000000',11,21,'wikitext',NULL),(3,1,'Talk_page',0,0,0.75,'20240101000000',NULL,12,22,'wikitext',NULL);
@@ -28,8 +28,9 @@ def test_dump_text(spark, tmp_path):
     assert rows(g["redirects"].filter("from_id = 2")) == [(2, 1)]
     assert rows(g["edges"]) == [(1, 1)]
     assert rows(g["unresolved_links"]) == [(1, "Back\\slash")]
-    assert [r.understood for r in sqldump.malformed(lines, "redirect").collect()] == [1]
-    assert sqldump.malformed(lines, "page").count() == 0
+    assert sorted(r.error for r in sqltuples.malformed(lines, "redirect").collect()) == ["4 values where 5 are due", "string not closed"]
+    for name in ("page", "linktarget", "pagelinks"):
+        assert rows(sqltuples.parse(lines, name)) == rows(tables[name])
 
 
 def test_render_and_parse(spark):
