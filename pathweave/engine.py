@@ -65,7 +65,7 @@ class GraphEngine:
             with storage.scope(self.spark):
                 self._timed(status, "blocks", lambda: blocks.build(self.edges, f"{self.folder}/blocks", status.buckets).rows.count())
             made = blocks.read(self.spark, f"{self.folder}/blocks", status.buckets)
-            status.distinct_edge_count = made.rows.filter("side = 'f'").agg(F.sum(F.size("w"))).first()[0] or 0
+            status.distinct_edge_count = made.rows.filter("side = 'f'").agg(F.sum(F.size(F.filter("w", lambda w: w != F.col("v"))))).first()[0] or 0
             status.edges_sorted = status.build_complete = True
             manifest.save(self.spark, self.folder, status)
         if publish:

@@ -24,7 +24,7 @@ class Manifest:
     vertex_count: int = 0
     edge_count: int = 0
     resolved_edge_count: int = 0
-    #: edges without repeats
+    #: distinct edges without self-loops
     distinct_edge_count: int = 0
     #: into which the blocks are dealt
     buckets: int = 0
