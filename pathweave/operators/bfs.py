@@ -70,13 +70,13 @@ class Frontiers:
     def steps(self, frontier: DataFrame) -> DataFrame:
         """(..., w): every neighbour of a frontier."""
         named = frontier.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("slot", slot(F.col("v"), F.col("side"), F.col("part")))
-        slots = blocks.few(named, self.blocks)
+        slots = self.graph.few(named, self.blocks)
         return self.graph.joined(named, slots, "w").withColumn("w", F.explode("w"))
 
     def sized(self, rows: DataFrame, n_rows: int) -> DataFrame:
         """``rows`` (side, v) with the blocks and links of each; vertices without links go, as no path goes on there."""
         named = rows.withColumn("slot", slot(F.col("v"), F.col("side"), F.lit(0)))
-        slots = blocks.few(named, n_rows)
+        slots = self.graph.few(named, n_rows)
         return self.graph.joined(named, slots, "parts", "links", how="left").drop("slot")
 
 
@@ -102,16 +102,15 @@ def search(pairs: DataFrame, graph: DataFrame | Blocks) -> Search:
     dead = own.filter("parts is null").select("pair_id")
     columns = ["pair_id", "side", "v", "f", "b", "parts", "links", "met"]
     frontier = fronts.add(own.join(dead, "pair_id", "left_anti").select(*columns))
-    log = ["pair_id", "side", "v", "parent", "level"]
-    seen.add(seen.dealt(frontier.select("pair_id", "side", "v", F.lit(None).cast("bigint").alias("parent"), zero.alias("level"))))
+    seen.extend(frontier.select("pair_id", "side", "v", F.lit(None).cast("bigint").alias("parent"), zero.alias("level"), "f", "b"))
     deepest = 0
     while fronts.vertexes:
         deepest += 1
         chosen = _costs(frontier).select("pair_id", F.when(F.col("f_cost") < F.col("b_cost"), "f").otherwise("b").alias("side"))
         count, at = Observation(), F.when(F.col("side") == "f", F.col("f")).otherwise(F.col("b"))
         near = fronts.steps(frontier.join(chosen, ["pair_id", "side"])).select("pair_id", "side", F.col("w").alias("v"), F.col("v").alias("parent"), (at + 1).alias("level"), "f", "b")
-        fresh = seen.new(near.observe(count, F.count(F.lit(1)).alias("n")), "near")
-        grown = seen.read(seen.add(fresh.select("bucket", *log, "f", "b")))
+        # rows of vertices seen before are logged too, at a level that is not theirs: no path is traced through them
+        grown = seen.extend(near.observe(count, F.count(F.lit(1)).alias("n")))
         moved = [F.when(F.col("side") == s, F.col(s) + 1).otherwise(F.col(s)).alias(s) for s in "fb"]
         reached = fronts.sized(grown.select("pair_id", "side", "v", *moved).distinct(), count.get["n"])
         facing = frontier.select("pair_id", F.col("side").alias("other"), "v")

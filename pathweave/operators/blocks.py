@@ -29,6 +29,8 @@ _SIDE, _VERTEX = 1 << 24, 1 << 25
 LARGEST_ID = 1 << 38
 #: Lookups of at most this many slots name them, so that other buckets and row groups are skipped.
 FEW = 1_000
+#: Bytes of blocks up to which they are read whole.
+SMALL = 8 << 20
 SCHEMA = "slot bigint, side string, v bigint, part int, parts int, links bigint, w array<bigint>, times array<bigint>"
 
 
@@ -72,7 +74,7 @@ class Blocks:
     """Stored blocks."""
 
     def __init__(self, rows: DataFrame, buckets: int):
-        self.rows, self.buckets = rows, buckets
+        self.rows, self.buckets, self.n_bytes = rows, buckets, None
 
     @property
     def degrees(self) -> DataFrame:
@@ -91,6 +93,14 @@ class Blocks:
         """``left``, which has a column slot, with columns of its blocks; only ``left`` is moved. ``slots``, if they are few, are those of ``left``."""
         return left.repartition(self.buckets, "slot").join(self.at(slots).select("slot", *columns), "slot", how)
 
+    def few(self, rows: DataFrame, at_most: int) -> list[int] | None:
+        """The slots of rows (slot) that are known to be few; None if they are more, or the blocks so small that reading all takes less than naming some."""
+        if self.n_bytes is None:
+            self.n_bytes = int(self.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if at_most > FEW or self.n_bytes < SMALL:
+            return None
+        return [r.slot for r in rows.select("slot").distinct().limit(FEW + 1).collect()]
+
     def neighbours(self, v: int) -> DataFrame:
         """(side, part, w) of one vertex, read part by part: the first block of a side tells how many there are."""
         first = [v * _VERTEX, v * _VERTEX + _SIDE]
@@ -102,11 +112,6 @@ class Blocks:
         return rows.select("side", "part", "w")
 
 
-def few(rows: DataFrame, at_most: int) -> list[int] | None:
-    """The slots of rows (slot) that are known to be few; None if they are more than FEW."""
-    return [r.slot for r in rows.select("slot").distinct().limit(FEW + 1).collect()] if at_most <= FEW else None
-
-
 def write(blocks: DataFrame, path: str, buckets: int) -> None:
     """Store blocks at ``path``, a file for each bucket, sorted by slot."""
     spark, name = blocks.sparkSession, f"pathweave_{uuid.uuid4().hex}"

@@ -6,6 +6,8 @@ dump-shaped tables with namespaces, missing titles and redirects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,19 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.select("source_id", "target_id", path_text(F.col("path")).alias("path"), (F.size("path") - 1).alias("degrees"))
 
 
+def _kept(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored; the scratch tables that it took are removed."""
+    with storage.scope(spark):
+        return stored(make(), "result", keep=True)
+
+
 def _raw(pairs: list[tuple[int, int]], urgent: bool = False):
-    return lambda spark, sf_dir: _shown(bfs.shortest_paths(_pairs(spark, pairs), tables.raw_edges(spark, sf_dir, urgent)))
+    return lambda spark, sf_dir: _shown(_kept(spark, lambda: bfs.shortest_paths(_pairs(spark, pairs), tables.raw_edges(spark, sf_dir, urgent))))
 
 
 def _g1_paths(spark: SparkSession, sf_dir: str, pairs: list[tuple[int, int]] = G0_PAIRS) -> tuple[DataFrame, dict[str, DataFrame]]:
     g = _graph(spark, sf_dir)
-    return stored(bfs.shortest_paths(_pairs(spark, pairs), g["edges"]), "paths"), g
+    return _kept(spark, lambda: bfs.shortest_paths(_pairs(spark, pairs), g["edges"])), g
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +60,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_pair_levels(spark, sf_dir):
     """The pairs of multi_pair_paths in a graph of short blocks, so that vertices have several."""
-    return _shown(bfs.shortest_paths(_pairs(spark, G0_PAIRS), blocks.build(_graph(spark, sf_dir)["edges"], block=4)))
+    return _shown(_kept(spark, lambda: bfs.shortest_paths(_pairs(spark, G0_PAIRS), blocks.build(_graph(spark, sf_dir)["edges"], block=4))))
 
 
 def multi_pair_paths(spark, sf_dir):
@@ -65,7 +73,7 @@ def path_summary(spark, sf_dir):
 
 
 def path_counts(spark, sf_dir):
-    found = bfs.count_paths(_pairs(spark, G0_PAIRS), tables.raw_edges(spark, sf_dir))
+    found = _kept(spark, lambda: bfs.count_paths(_pairs(spark, G0_PAIRS), tables.raw_edges(spark, sf_dir)))
     return found.select("source_id", "target_id", "degrees", F.col("n_paths").cast("bigint").alias("n_paths"))
 
 
@@ -130,7 +138,7 @@ def db_status_counts(spark, sf_dir):
 
 def adjacency_lists(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    lists = adjacency.lists(blocks.build(g["edges"], block=16), g["vertexes"])
+    lists = _kept(spark, lambda: adjacency.lists(blocks.build(g["edges"], block=16), g["vertexes"]))
     return lists.select("id", path_text(F.col("outgoing"), ",").alias("outgoing"), path_text(F.col("incoming"), ",").alias("incoming"))
 
 
@@ -181,20 +189,23 @@ def _cache_of_orders(spark, sf_dir):
 def cache_hit_miss(spark, sf_dir):
     """The pairs of all customers against the cache."""
     pairs = tables.read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("source_id"), (F.col("c_custkey") % 7 + 1).alias("target_id"))
-    c = _cache_of_orders(spark, sf_dir).rows(pairs)
+    return _kept(spark, lambda: _hits_and_misses(pairs, _cache_of_orders(spark, sf_dir).rows(pairs)))
+
+
+def _hits_and_misses(pairs, c):
     hit = cache.hits(pairs, c).select("source_id", "target_id", F.lit("hit").alias("state"), F.size("paths").alias("n_paths"))
     return hit.unionByName(cache.misses(pairs, c).select("source_id", "target_id", F.lit("miss").alias("state"), F.lit(None).cast("int").alias("n_paths")))
 
 
 def cached_search(spark, sf_dir):
     """Pairs of G0 from the cache where it has them, searched for where it has not."""
-    found, _ = cache.cached_paths(_pairs(spark, [(7, 7), (9, 10), (101, 140), (60, 7), (2, 20)]), tables.raw_edges(spark, sf_dir), _cached(spark, sf_dir))
-    return _shown(found)
+    pairs = _pairs(spark, [(7, 7), (9, 10), (101, 140), (60, 7), (2, 20)])
+    return _shown(_kept(spark, lambda: cache.cached_paths(pairs, tables.raw_edges(spark, sf_dir), _cached(spark, sf_dir))[0]))
 
 
 def long_paths_report(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    found = stored(bfs.shortest_paths(_pairs(spark, G0_PAIRS), g["edges"]), "paths")
+    found = _kept(spark, lambda: bfs.shortest_paths(_pairs(spark, G0_PAIRS), g["edges"]))
     return cache.long_paths(cache.cache_rows(_pairs(spark, G0_PAIRS), found), g["vertexes"], least=4)
 
 
@@ -207,29 +218,23 @@ def _articles(spark, sf_dir):
 
 
 def top_pages_ranked(spark, sf_dir):
-    return toppages.ranked(_articles(spark, sf_dir), _graph(spark, sf_dir)["vertexes"])
+    return _kept(spark, lambda: toppages.ranked(_articles(spark, sf_dir), _graph(spark, sf_dir)["vertexes"]))
 
 
 def missing_top_pages(spark, sf_dir):
     return toppages.missing(_articles(spark, sf_dir), _graph(spark, sf_dir)["vertexes"])
 
 
-def _top_graph(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    return toppages.top_graph(toppages.ranked(_articles(spark, sf_dir), g["vertexes"], 10), g["vertexes"], g["edges"])
-
-
-def top_graph_vertexes(spark, sf_dir):
-    return _top_graph(spark, sf_dir)[0]
-
+def _top_graph(part: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = _graph(spark, sf_dir)
+        return _kept(spark, lambda: toppages.top_graph(toppages.ranked(_articles(spark, sf_dir), g["vertexes"], 10), g["vertexes"], g["edges"])[part])
 
-def top_graph_edges(spark, sf_dir):
-    return _top_graph(spark, sf_dir)[2]
+    return query
 
 
 def _sitemap(spark, sf_dir):
-    top = stored(toppages.ranked(_articles(spark, sf_dir), _graph(spark, sf_dir)["vertexes"]), "top")
-    return toppages.sitemap_urls(top, BASE_URL)
+    return toppages.sitemap_urls(top_pages_ranked(spark, sf_dir), BASE_URL)
 
 
 def sitemap_urls(spark, sf_dir):
@@ -282,7 +287,7 @@ QUERIES = {
     "sssp_unreachable": _raw([(2, 100)], urgent=True), "sssp_sparse_deep": _raw([(2, 3)], urgent=True), "multi_pair_paths": multi_pair_paths, "multi_pair_levels": multi_pair_levels, "path_summary": path_summary, "path_counts": path_counts,
     "path_titles": path_titles, "path_edges_raw": path_edges_raw, "path_edges_distinct": path_edges_distinct, "frontier_cost": frontier_cost, "path_layout": path_layout,
     "cache_hit_miss": cache_hit_miss, "cached_search": cached_search, "long_paths_report": long_paths_report, "top_pages_ranked": top_pages_ranked, "missing_top_pages": missing_top_pages,
-    "top_graph_vertexes": top_graph_vertexes, "top_graph_edges": top_graph_edges, "sitemap_urls": sitemap_urls, "sitemap_chunks": sitemap_chunks, "dump_catalog": dump_catalog,
+    "top_graph_vertexes": _top_graph(0), "top_graph_edges": _top_graph(2), "sitemap_urls": sitemap_urls, "sitemap_chunks": sitemap_chunks, "dump_catalog": dump_catalog,
     "dump_catalog_latest": dump_catalog_latest, "search_log_stats": search_log_stats, "graph_validate": graph_validate, "item_list_jsonld": item_list_jsonld, "enriched_paths": enriched_paths,
     "html_link_extract": html_link_extract,
 }

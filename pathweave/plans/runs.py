@@ -13,7 +13,6 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pathweave.plans import storage
 
@@ -43,17 +42,25 @@ class Runs:
         df.write.partitionBy("bucket").parquet(path)
         return {int(name.split("=")[1]): f"{path}/{name}" for name in storage.children(self.spark, path) if name.startswith("bucket=")}
 
-    def add(self, df: DataFrame) -> list[str]:
-        """Add rows (with bucket) as a run of each of their buckets; the folders written, which stay until the next call."""
+    def extend(self, df: DataFrame) -> DataFrame:
+        """Store rows as a run of each of their buckets; those of them whose keys no earlier run has.
+
+        Rows of keys that are there already are stored too: the set stays the
+        same, and one write does for both.  The result is to be read before the
+        next call, which removes runs that have been merged.
+        """
         for folder in self.merged:
             storage.delete(self.spark, folder)
         self.merged = []
-        self.schema = df.drop("bucket").schema
-        made = self._write(df)
+        self.schema = df.schema
+        made = self._write(self.dealt(df))
+        known = self.folders(list(made))
+        rows = self.read(list(made.values()))
+        fresh = rows.join(self.read(known).select(*self.key), self.key, "left_anti") if known else rows
         for bucket, folder in made.items():
             self.runs[bucket][0].append(folder)
         self._merge()
-        return list(made.values())
+        return fresh
 
     def _merge(self) -> None:
         tier = 0
@@ -73,12 +80,3 @@ class Runs:
 
     def all(self) -> DataFrame:
         return self.read(self.folders())
-
-    def new(self, df: DataFrame, name: str) -> DataFrame:
-        """Those rows of ``df``, stored, whose keys the set has not, with their bucket."""
-        path = storage.new_path(self.spark, name)
-        self.dealt(df).write.partitionBy("bucket").parquet(path)
-        rows = self.spark.read.schema(StructType([*df.schema.fields, StructField("bucket", IntegerType())])).option("basePath", path).parquet(path)
-        touched = [int(x.split("=")[1]) for x in storage.children(self.spark, path) if x.startswith("bucket=")]
-        known = self.folders(touched)
-        return rows.join(self.read(known).select(*self.key), self.key, "left_anti") if known else rows

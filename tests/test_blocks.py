@@ -68,11 +68,9 @@ def test_runs_are_a_set_and_reads_stay_small(spark, tmp_path):
     runs, known, sizes = Runs(spark, "seen", ["k"], 4), set(), []
     rng = np.random.default_rng(2)
     for level in range(40):
-        keys = [level + 1000] if level % 5 else [int(x) for x in rng.integers(0, 300, 30)]
-        fresh = runs.new(spark.createDataFrame([(k, level) for k in keys], "k long, level int"), "keys")
-        assert sorted(r.k for r in fresh.collect()) == sorted(k for k in keys if k not in known)
-        folders = runs.add(fresh.select("bucket", "k", "level"))
-        assert sorted(r.k for r in runs.read(folders).collect()) == sorted(k for k in keys if k not in known)
+        keys = [level + 1000] if level % 5 else sorted({int(x) for x in rng.integers(0, 300, 30)})
+        fresh = runs.extend(spark.createDataFrame([(k, level) for k in keys], "k long, level int"))
+        assert sorted((r.k, r.level) for r in fresh.collect()) == [(k, level) for k in keys if k not in known]
         known |= set(keys)
         sizes.append(len(runs.folders([0])))
     assert {r.k for r in runs.all().collect()} == known
@@ -86,7 +84,7 @@ def test_what_a_level_reads_does_not_grow_with_the_levels_before(spark):
     of = {r.k: r.bucket for r in spark.range(64).select(F.col("id").alias("k")).withColumn("bucket", bucket).collect()}
     for level in range(64):  # a path: one vertex a level
         read.append(sum(map(size, runs.folders([of[level]]))))
-        runs.add(runs.dealt(spark.createDataFrame([(level,)], "k long")))
+        runs.extend(spark.createDataFrame([(level,)], "k long"))
     total = sum(map(size, runs.folders()))
     assert max(read[48:]) < total / 4 and np.mean(read[48:]) < 3 * np.mean(read[16:32])
 

@@ -34,3 +34,12 @@ def test_a_lookup_reads_the_buckets_of_its_pairs(spark, tmp_path):
     one = made.rows(spark.createDataFrame([(5, 5)], "source_id long, target_id long"))
     assert len(one.inputFiles()) == 1 and one.count() < 60
     assert made.rows(spark.createDataFrame([], "source_id long, target_id long")).collect() == []
+
+
+def test_queries_leave_one_scratch_table(spark):
+    from pathweave.plans import queries, storage
+
+    folder = storage.scratch_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/pathweave-*"))
+    rows = [queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() for name in ("sssp_same", "adjacency_lists", "top_pages_ranked", "cache_hit_miss")]
+    assert rows[0] == 1 and all(rows) and len(set(glob.glob(f"{folder}/pathweave-*")) - before) == len(rows)
