@@ -1,5 +1,9 @@
 """Title index, prefix search through redirects, ranks, sitemap files written by tasks, and the order of redirect rows."""
 import gzip
+import os
+import re
+import subprocess
+import sys
 import xml.etree.ElementTree as ElementTree
 
 import pytest
@@ -104,20 +108,37 @@ def test_sitemap_files(spark, tmp_path):
     assert not list((tmp_path / "maps").glob("chunks*"))
 
 
-def test_a_task_that_is_tried_again_leaves_one_file(spark, tmp_path):
-    """The first attempt of each task fails after it has written."""
-    from pyspark import TaskContext
-
-    def fail_once(batches):
-        yield from batches
-        if TaskContext.get().attemptNumber() == 0 and retries:
-            raise RuntimeError("lost")
-
-    retries = spark.sparkContext.master.endswith("]") and "," in spark.sparkContext.master
-    top = spark.createDataFrame([(i, i) for i in range(1, 30)], "id long, rank int")
-    urls = toppages.sitemap_urls(top, "https://x.example", per_file=100)
-    names = toppages.write_sitemap(spark, urls.mapInArrow(fail_once, urls.schema), str(tmp_path), "https://x.example")
-    assert len(names) == len(list(tmp_path.glob("*.gz"))) == 10
+RETRY = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from pathweave.operators import toppages
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[1] + "/scratch").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+def fail_once(batches):
+    yield from batches
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("lost")
+
+top = spark.createDataFrame([(i, i) for i in range(1, 30)], "id long, rank int")
+urls = toppages.sitemap_urls(top, "https://x.example", per_file=100)
+write = type(urls).sortWithinPartitions
+type(urls).sortWithinPartitions = lambda self, *c: (lambda rows: rows.mapInArrow(fail_once, rows.schema))(write(self, *c))
+names = toppages.write_sitemap(spark, urls, sys.argv[1] + "/maps", "https://x.example")
+print("files", len(names))
+"""
+
+
+def test_a_task_that_is_tried_again_leaves_one_file(tmp_path):
+    """The first attempt of each writing task fails after its last row, in a session that tries tasks again."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", RETRY, str(tmp_path)], env=os.environ | {"PYTHONPATH": folder}, capture_output=True, text=True, timeout=120)
+    assert "files 10" in run.stdout, run.stderr[-2000:]
+    assert len(list((tmp_path / "maps").glob("*.gz"))) == 10
+    found = [u for p in sorted((tmp_path / "maps").glob("sitemap-?.xml.gz")) for u in re.findall("<loc>([^<]*)</loc>", gzip.decompress(p.read_bytes()).decode())]
+    assert len(found) == len(set(found)) == 1 + 29 * 28
 
 
 def test_last_redirect_row_wins(spark, tmp_path):
