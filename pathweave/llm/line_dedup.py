@@ -30,7 +30,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.llm import scratch
@@ -71,8 +71,9 @@ def _exploded(words: DataFrame, *columns: str) -> DataFrame:
 
 def _token_arrays(words: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and t, the distinct tokens of each line, the same numbers as those of _exploded()."""
-    spans = F.arrays_zip("w", *[F.slice("w", k + 1, 1 << 30) for k in range(1, SHINGLE)])
-    return words.select(*columns, F.array_distinct(F.transform(F.slice(spans, 1, F.col("n")), lambda s: F.xxhash64(s))).alias("t"))
+    # words are read by place: structs of them would take longer to make than to hash
+    tokens = let(F.struct("w", "n"), lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.xxhash64(*[F.get(s["w"], i + j) for j in range(SHINGLE)])))
+    return words.select(*columns, F.array_distinct(tokens).alias("t"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -185,11 +186,10 @@ def representatives(lines: DataFrame) -> DataFrame:
 
 def similar_to_earlier(lines: DataFrame, classes: list[int]) -> DataFrame:
     """id of the lines that an earlier one matches."""
-    posted, path = scratch.stored(postings(lines, classes), "postings")
-    several = posted.groupBy("token").agg(F.min("doc").alias("first"), F.count("*").alias("k")).filter("k > 1")
-    # most tokens stand in one line: what follows reads the others only
-    shared, beside = scratch.stored(posted.join(several.hint("shuffle_hash"), "token"), "shared")
-    scratch.remove(lines.sparkSession, path)
+    # most tokens stand in one line: what follows reads the others only, and one shuffle is all that the postings go through
+    token = Window.partitionBy("token")
+    posted = postings(lines, classes).select("*", F.min("doc").over(token).alias("first"), F.count("*").over(token).alias("k"))
+    shared, beside = scratch.stored(posted.filter("k > 1"), "shared")
     hubs = shared.filter("doc = first").groupBy("token").agg(F.min(F.struct("id", "n", "i")).alias("hub")).select("token", "hub.*")
     pairs = shared.alias("a").join(hubs.alias("h"), "token").filter("a.id <> h.id")
     pairs = pairs.select(F.col("a.id").alias("id"), F.col("h.id").alias("other"), (_length("a.n", "h.n") & _positions("a", "h")).alias("passes"), (F.col("k") > 2).alias("more"))
