@@ -40,7 +40,6 @@ SHINGLE = 5
 PERCENT = 75
 #: Cells of the table that counts shingles.
 CELLS = 1 << 16
-_GAPS = " \t\n\r\x0b\x0c"
 _TOKEN_BITS = 56
 
 
@@ -48,9 +47,10 @@ def normal(line: Column) -> Column:
     """Lower case, without blanks at the ends, one blank between words."""
     def single(x: Column) -> Column:
         odd = reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")])
-        return F.when(odd, F.regexp_replace(x, r"[\x09-\x0D\x20]+", " ")).otherwise(x)
+        # blanks are the only gaps left here; trimming other characters would take a list of all places of the line
+        return F.trim(F.when(odd, F.regexp_replace(x, r"[\x09-\x0D\x20]+", " ")).otherwise(x))
 
-    return let(F.btrim(F.lower(line), F.lit(_GAPS)), single)
+    return let(F.lower(line), single)
 
 
 def _words(lines: DataFrame, *columns: str) -> DataFrame:
@@ -71,15 +71,15 @@ def _exploded(words: DataFrame, *columns: str) -> DataFrame:
 
 def _token_arrays(words: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and t, the distinct tokens of each line, the same numbers as those of _exploded()."""
-    # words are read by place: structs of them would take longer to make than to hash
-    tokens = let(F.struct("w", "n"), lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.xxhash64(*[F.get(s["w"], i + j) for j in range(SHINGLE)])))
-    return words.select(*columns, F.array_distinct(tokens).alias("t"))
+    # words are read by place, from the bound array itself: each step within the function costs more than the hash
+    tokens = let(F.col("w"), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, SHINGLE)])))
+    return words.select(*columns, F.array_distinct(F.slice(tokens, F.lit(1), F.col("n"))).alias("t"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, version, text, row): the keys of a row and the row itself."""
+    """(doc, version, text, row): the keys of a row, its text, and its other columns."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    return docs.select(doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    return docs.select(doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text", F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]).alias("row"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -118,17 +118,27 @@ def _rarity(lines: DataFrame) -> list[int]:
     return classes
 
 
-def ordered_tokens(lines: DataFrame, classes: list[int], *columns: str) -> DataFrame:
-    """``columns`` and t, the tokens by rarity: numbers that hold the class above 56 bits of the hash."""
+def prefixes(lines: DataFrame, classes: list[int], *columns: str) -> DataFrame:
+    """``columns``, the number n of distinct tokens and t, those of the prefix by rarity.
+
+    A token is a number that holds its class above 56 bits of the hash, so that
+    numbers of class 0 come as their hashes do.  If the first tokens by hash, some
+    more than the prefix, hold a prefix of class 0, then that is the line's; else
+    all its tokens are given their class and sorted.
+    """
     table = F.from_json(F.lit(str([c << _TOKEN_BITS for c in classes])), "array<bigint>")
-    ranked = F.transform("t", lambda h: F.get(table, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 64 - _TOKEN_BITS)))
-    return _token_arrays(_words(lines, *columns), *columns).select(*columns, F.sort_array(ranked).alias("t"))
+    zero = F.lit(0).cast("bigint")
+    ranked = lambda hashes: F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(table, _cell(h)), zero) + F.shiftright(h, 64 - _TOKEN_BITS)))
+    cut = lambda tokens: F.slice(tokens, F.lit(1), F.col("p"))
+    hashes = _token_arrays(_words(lines, *columns), *columns).select(*columns, F.sort_array("t").alias("h"))
+    sized = hashes.select(*columns, "h", F.size("h").alias("n"), _prefix(F.size("h")).alias("p"))
+    few = sized.select(*columns, "h", "n", "p", ranked(F.slice("h", F.lit(1), F.col("p") + F.shiftright("p", 2) + 2)).alias("t"))
+    return few.select(*columns, "n", F.when(F.get("t", F.col("p") - 1) < F.lit(1 << (_TOKEN_BITS - 1)), cut("t")).otherwise(cut(ranked("h"))).alias("t"))
 
 
 def postings(lines: DataFrame, classes: list[int]) -> DataFrame:
     """(token, id, doc, n, i): tokens of each line's prefix with their places."""
-    rows = ordered_tokens(lines, classes, "id", "doc").select("id", "doc", F.size("t").alias("n"), F.slice("t", 1, _prefix(F.size("t"))).alias("t"))
-    return rows.select("id", "doc", "n", F.posexplode_outer("t").alias("i", "token"))
+    return prefixes(lines, classes, "id", "doc").select("id", "doc", "n", F.posexplode_outer("t").alias("i", "token"))
 
 
 def _length(n: str, m: str) -> Column:
@@ -246,7 +256,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = let(F.split("text", "\n"), lambda parts: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")
     return rows.select(
         *[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
